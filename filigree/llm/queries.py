@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import mixing, pii
+from filigree.llm import media, mixing, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +26,20 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids", "padded")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.text_as_wav(table(spark, sf_dir, "documents")).withColumn("of", F.struct("doc_id", "n_bytes"))
+    return media.wav_features(media.identify(stored, id_col="of")).select("id.*", "*").drop("id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op7_packing": op7_packing,
     "op8_pii": op8_pii,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
