@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import media, mixing, packing, pii
+from filigree.llm import media, mixing, packing, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids", "padded")
 
@@ -37,9 +42,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), k AS (
+            SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, p.payload_digest,
+            CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id <> kept THEN kept END AS refers_to
+        FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND payload_bytes >= 1000
+    """,
+}
