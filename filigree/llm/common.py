@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +48,23 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of about ``size`` bytes, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def through(df: DataFrame, schema: StructType | str, *steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows through ``steps`` one after another, in one Python worker a task."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return df.mapInArrow(run, schema)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], piece: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches cut into smaller ones, so that Python holds few texts at once."""
     for batch in batches:
@@ -86,7 +103,7 @@ def rank_within(df: DataFrame, group: str, order: list[str], rank: str, label: s
             )
 
     numbered = StructType([*schema.fields, StructField("_part", IntegerType()), StructField("_local", LongType())])
-    local = materialise(dealt.mapInArrow(number, numbered), label)
+    local = materialise(through(dealt, numbered, number), label)
     counts = local.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from filigree.llm.common import rows_of, utf8
+from filigree.llm.common import rows_of, through, utf8
 
 # Each validator takes the bytes and where the medium starts, and gives its length, or 0 if it isn't one.
 
@@ -164,34 +164,38 @@ def sniff(data: bytes, words: ahocorasick.Automaton) -> list[tuple[int, int, str
     return sorted(out)
 
 
-def with_id(df: DataFrame, ddl: str) -> StructType:
-    """A schema that starts with the ``id`` of ``df``."""
-    return StructType([df.schema["id"], *StructType.fromDDL(ddl).fields])
+def with_id(df: DataFrame, column: str, ddl: str) -> StructType:
+    """A schema that starts with ``column`` of ``df``, named id."""
+    return StructType([StructField("id", df.schema[column].dataType), *StructType.fromDDL(ddl).fields])
+
+
+IDENTIFIED = "data binary, declared string, media_type string, length long, embedded array<struct<start:long,length:long,media_type:string>>"
+
+
+def _identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, data, declared to id and ``IDENTIFIED``."""
+    words = automaton()
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("media_type", pa.string())]))
+    for batch in rows_of(batches):
+        kind, length, inside = [], [], []
+        for data, declared in zip(*batch.columns[1:], strict=True):
+            got = sniff(b := data.as_py(), words)
+            whole = max((x for x in got if x[0] == 0), key=lambda x: x[1], default=(0, len(b), declared.as_py()))
+            kind.append(whole[2])
+            length.append(whole[1])
+            inside.append([{"start": s, "length": n, "media_type": t} for s, n, t in got if s])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind, pa.string()), pa.array(length, pa.int64()), pa.array(inside, spans)], names=["id", "data", "declared", "media_type", "length", "embedded"])
 
 
 def identify(media: DataFrame, id_col: str = "doc_id", data_col: str = "media", declared_col: str = "declared") -> DataFrame:
     """``id, data, declared, media_type, length, embedded``: the type that the bytes prove, else what was declared.
 
-    ``id`` may be of any type, a struct of several columns included.
-    ``embedded`` lists start, length and type of media inside. Null data is empty and keeps its declared type; all
-    columns can hold nulls, and other columns are left out.
+    ``id`` may be of any type, a struct of several columns included. ``embedded`` lists start, length and type of
+    media inside. Null data is empty and keeps its declared type; all columns can hold nulls, and other
+    columns are left out.
     """
     d = media.select(F.col(id_col).alias("id"), F.coalesce(F.col(data_col), F.lit(b"")).alias("data"), F.col(declared_col).cast("string").alias("declared"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = automaton()
-        for batch in rows_of(batches):
-            kind, length, inside = [], [], []
-            for data, declared in zip(batch.column(1), batch.column(2), strict=True):
-                got = sniff(b := data.as_py(), words)
-                whole = max((x for x in got if x[0] == 0), key=lambda x: x[1], default=(0, len(b), declared.as_py()))
-                kind.append(whole[2])
-                length.append(whole[1])
-                inside.append([{"start": s, "length": n, "media_type": t} for s, n, t in got if s])
-            spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("media_type", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind, pa.string()), pa.array(length, pa.int64()), pa.array(inside, spans)], names=["id", "data", "declared", "media_type", "length", "embedded"])
-
-    return d.mapInArrow(run, with_id(d, "data binary, declared string, media_type string, length long, embedded array<struct<start:long,length:long,media_type:string>>"))
+    return through(d, with_id(d, "id", IDENTIFIED), _identify)
 
 
 def carve(identified: DataFrame) -> DataFrame:
@@ -217,12 +221,12 @@ def wav_samples(data: bytes) -> bytes:
     return b""
 
 
-def text_as_wav(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 64) -> DataFrame:
-    """``doc_id, n_bytes, media, declared``: texts as 8-bit samples, padded with 0 to a positive multiple of ``block``.
+STORED = "n_bytes long, media binary, declared string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    They are declared as unknown bytes, which `identify` has to correct.
-    """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("b"))
+
+def _store(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id, bytes to id and ``STORED``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
@@ -232,36 +236,58 @@ def text_as_wav(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n.append(len(b))
                 size = max(block, -(-len(b) // block) * block)
                 media.append(wav_header(size) + b.ljust(size, b"\0"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(n))], names=["doc_id", "n_bytes", "media", "declared"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(n), pa.string())], names=["id", "n_bytes", "media", "declared"])
+
+    return run
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and ``IDENTIFIED`` to id and ``FEATURES``."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for batch in rows_of(batches):
+        out = []
+        for data, kind, length, inside in zip(*(batch.column(i) for i in (1, 3, 4, 5)), strict=True):
+            b = data.as_py()
+            kind = kind.as_py() or ""
+            got = wav_samples(b[: length.as_py()]) if kind == "audio/wav" else b
+            x = np.frombuffer(got, np.uint8)
+            total, n = int(x.sum(dtype=np.int64)), max(1, len(x))
+            counts = np.bincount(x, minlength=256)
+            square = int((counts * np.arange(256) ** 2).sum())
+            up = x > total // n  # whole samples: over the mean is over its floor
+            turns = int(np.count_nonzero(up[1:] != up[:-1]))
+            feature = f"{kind};n={len(x)};mean={total / n:.4f};sd={max(0.0, square / n - (total / n) ** 2) ** 0.5:.4f};turns={turns};inside={len(inside)}"
+            out.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature))
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", *(x.split()[0] for x in FEATURES.split(", "))])
+
 
-    return d.mapInArrow(run, "doc_id long, n_bytes long, media binary, declared string")
+def text_as_wav(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 64) -> DataFrame:
+    """``id, n_bytes, media, declared``: texts as 8-bit samples, padded with 0 to a positive multiple of ``block``.
+
+    They are declared as unknown bytes, which `identify` has to correct. Null texts are empty.
+    """
+    d = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("b"))
+    return through(d, with_id(d, "id", STORED), _store(block))
 
 
 def wav_features(identified: DataFrame) -> DataFrame:
     """``id, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of identified media.
 
     The samples are read back from the medium's own chunks; a medium that isn't a WAV file counts as raw samples.
-    ``feature``: type, samples, mean, deviation, zero crossings about the mean, and confirmed media inside.
+    ``feature``: type, samples, mean, deviation, crossings of the mean, and confirmed media inside.
     """
-    d = identified.select("id", "data", "media_type", "length", F.size("embedded").alias("inside"))
+    d = identified.select("id", "data", "declared", "media_type", "length", "embedded")
+    return through(d, with_id(d, "id", FEATURES), _features)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            out = []
-            for data, kind, length, inside in zip(*batch.columns[1:], strict=True):
-                b = data.as_py()
-                kind = kind.as_py() or ""
-                got = wav_samples(b[: length.as_py()]) if kind == "audio/wav" else b
-                x = np.frombuffer(got, np.uint8)
-                total, n = int(x.sum(dtype=np.int64)), max(1, len(x))
-                square = int(np.einsum("i,i->", y := x.astype(np.int64), y))
-                up = x.astype(np.int64) * n > total
-                turns = int(np.count_nonzero(up[1:] != up[:-1]))
-                feature = f"{kind};n={len(x)};mean={total / n:.4f};sd={max(0.0, square / n - (total / n) ** 2) ** 0.5:.4f};turns={turns};inside={inside.as_py()}"
-                out.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return d.mapInArrow(run, with_id(d, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"))
+
+def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 64) -> DataFrame:
+    """`text_as_wav`, `identify` and `wav_features` in one pass: ``id, n_bytes`` and the features."""
+    d = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("b"))
+    d = d.select(F.struct("id", F.octet_length("b").cast("long").alias("n_bytes")).alias("of"), "b")
+
+    def unstored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["id", "media", "declared"])
+
+    return through(d, with_id(d, "of", FEATURES), _store(block), unstored, _identify, _features).select("id.*", *(x.split()[0] for x in FEATURES.split(", ")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.common import materialise, rows_of
+from filigree.llm.common import materialise, rows_of, through
 
 END_OF_TEXT = 1
 #: Pattern by which byte-level BPE of this family cuts a text into words. Fixed value.
@@ -86,7 +86,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
                 names=["doc_id", "ids", "n", "part", "at"],
             )
 
-    return d.mapInArrow(run, "doc_id long, ids binary, n long, part int, at long")
+    return through(d, "doc_id long, ids binary, n long, part int, at long", run)
 
 
 def pack(docs: DataFrame, window: int = 2048, keep_ids: bool = True, **options) -> DataFrame:
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, window: int = 2048, keep_ids: bool = True, **options)
             cols = list(zip(*out, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long")
+    return through(placed, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long", cut)
 
 
 def sequences(pieces: DataFrame, window: int = 2048, pad: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import materialise, rows_of, utf8
+from filigree.llm.common import materialise, rows_of, through, utf8
 from filigree.llm.components import components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash_bytes(b.as_py(), shingle, seed) for b in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return through(d, "doc_id long, fp long", run)
 
 
 def tree_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def links(distinct: DataFrame, radius: int = 3, most: int = 8192) -> DataFrame:
 
     out = None
     for part in shards(distinct, radius, most):
-        near = part.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "a long, b long")
+        near = through(part.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp"), "a long, b long", run)
         out = near if out is None else out.union(near)
     return out
 

@@ -13,14 +13,14 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import new_path, rows_of, utf8
+from filigree.llm.common import new_path, rows_of, through, utf8
 
 #: Header fields by ARC version, as the version block of a file declares them. Fixed values.
 ARC_FIELDS = {
@@ -30,6 +30,8 @@ ARC_FIELDS = {
 #: Ends of the identifiers' namespace and of a WARC record.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 GAP = "\r\n\r\n"
+#: Date of the captures and size of the ARC files that pages become.
+ARC_DATE, ARC_SIZE = "20040102030405", 1 << 20
 
 
 @dataclass
@@ -77,13 +79,8 @@ def arc_line(version: int, url: str, date: str, kind: str, code: int, body: byte
     return f"{url} 0.0.0.0 {date} {kind}{more} {len(body)}\n".encode()
 
 
-def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20040102030405", most: int = 1 << 20) -> DataFrame:
-    """``arc_name, content``: ARC files of about ``most`` bytes, versions 1 and 2 in turn, one HTTP response a page.
-
-    Null html is an empty body, a null url is ``urn:page``, white space in urls is escaped. The page's id stands in
-    the HTTP header ``X-Page-Id``, which a null id leaves out.
-    """
-    d = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), utf8(html_col).alias("html"))
+def _to_arc(date: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id, url, html to arc_name, content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,12 +108,44 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         if parts:
             yield done()
 
-    return d.mapInArrow(run, "arc_name string, content binary")
+    return run
+
+
+def _arc_input(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), utf8(html_col).alias("html"))
+
+
+def pages_to_arc(pages: DataFrame, date: str = ARC_DATE, most: int = ARC_SIZE, **columns) -> DataFrame:
+    """``arc_name, content``: ARC files of about ``most`` bytes, versions 1 and 2 in turn, one HTTP response a page.
+
+    Null html is an empty body, a null url is ``urn:page``, white space in urls is escaped. The page's id stands in
+    the HTTP header ``X-Page-Id``, which a null id leaves out.
+    """
+    return through(_arc_input(pages, **columns), "arc_name string, content binary", _to_arc(date, most))
 
 
 WARC_ROW = "record_id string, record_type string, target_uri string, date string, content_type string, http_head binary, payload binary, payload_bytes long, payload_sha1 binary, refers_to string"
 
 
+def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """arc_name, content to ``WARC_ROW``, of about 4 MB each."""
+    for batch in rows_of(batches, 1):
+        name, out = batch.column(0)[0].as_py() or "", []
+        for r in read_arc(batch.column(1)[0].as_py()):
+            url, day = r.fields["URL"], r.fields["Archive-date"]
+            http = r.body.startswith(b"HTTP/")
+            cut = r.body.find(b"\r\n\r\n") + 4 if http and b"\r\n\r\n" in r.body else 0
+            kind = "warcinfo" if url.startswith("filedesc:") else "response" if http else "resource"
+            sha = hashlib.sha1(r.body[cut:]).digest()
+            made = uuid.uuid5(SPACE, f"{name}:{r.offset}:{sha.hex()}")
+            date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z" if re.fullmatch("[0-9]{14}", day) else "1970-01-01T00:00:00Z"
+            content = "application/warc-fields" if kind == "warcinfo" else "application/http; msgtype=response" if http else r.fields["Content-type"]
+            out.append((f"urn:uuid:{made}", kind, url, date, content, r.body[:cut], r.body[cut:], len(r.body) - cut, sha, None))
+        kinds = [pa.string()] * 5 + [pa.binary()] * 2 + [pa.int64(), pa.binary(), pa.string()]
+        cols = list(zip(*out, strict=True)) or [[]] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in WARC_ROW.split(", ")])
+
+
 def arc_to_warc(arcs: DataFrame) -> DataFrame:
     """WARC records of ARC files (``arc_name, content``): see ``WARC_ROW``; `write_warc` writes them.
 
@@ -125,24 +154,7 @@ def arc_to_warc(arcs: DataFrame) -> DataFrame:
     """
     d = arcs.select(F.col("arc_name").cast("string").alias("arc_name"), F.coalesce(F.col("content"), F.lit(b"")).alias("content"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 1):
-            name, out = batch.column(0)[0].as_py() or "", []
-            for r in read_arc(batch.column(1)[0].as_py()):
-                url, day = r.fields["URL"], r.fields["Archive-date"]
-                http = r.body.startswith(b"HTTP/")
-                cut = r.body.find(b"\r\n\r\n") + 4 if http and b"\r\n\r\n" in r.body else 0
-                kind = "warcinfo" if url.startswith("filedesc:") else "response" if http else "resource"
-                sha = hashlib.sha1(r.body[cut:]).digest()
-                made = uuid.uuid5(SPACE, f"{name}:{r.offset}:{sha.hex()}")
-                date = f"{day[:4]}-{day[4:6]}-{day[6:8]}T{day[8:10]}:{day[10:12]}:{day[12:14]}Z" if re.fullmatch("[0-9]{14}", day) else "1970-01-01T00:00:00Z"
-                content = "application/warc-fields" if kind == "warcinfo" else "application/http; msgtype=response" if http else r.fields["Content-type"]
-                out.append((f"urn:uuid:{made}", kind, url, date, content, r.body[:cut], r.body[cut:], len(r.body) - cut, sha, None))
-            kinds = [pa.string()] * 5 + [pa.binary()] * 2 + [pa.int64(), pa.binary(), pa.string()]
-            cols = list(zip(*out, strict=True)) or [[]] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in WARC_ROW.split(", ")])
-
-    return d.mapInArrow(run, WARC_ROW)
+    return through(d, WARC_ROW, _to_warc)
 
 
 def page_of(http_head: str) -> Column:
@@ -205,7 +217,7 @@ def write_warc(records: DataFrame, path: str, most_records: int = 2000) -> None:
                 out.append("\r\n".join(head).encode() + b"\r\n\r\n" + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    text = d.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    text = through(d, "value binary", run).select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
@@ -300,7 +312,7 @@ def read_warc(spark, path: str) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [[]] * 8
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return files.mapInArrow(run, "record_id string, record_type string, target_uri string, page_id long, payload binary, payload_bytes long, payload_digest string, refers_to string")
+    return through(files, "record_id string, record_type string, target_uri string, page_id long, payload binary, payload_bytes long, payload_digest string, refers_to string", run)
 
 
 def archive_pages(pages: DataFrame, least: int = 1000, **columns) -> DataFrame:
@@ -310,7 +322,8 @@ def archive_pages(pages: DataFrame, least: int = 1000, **columns) -> DataFrame:
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_warc(revisits(arc_to_warc(pages_to_arc(pages, **columns)), least), path)
+    converted = through(_arc_input(pages, **columns), WARC_ROW, _to_arc(ARC_DATE, ARC_SIZE), _to_warc)
+    write_warc(revisits(converted, least), path)
     records = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
     named = records.filter(F.col("record_type") == "response").select(F.col("record_id").alias("n_id"), F.col("page_id").alias("refers_page"))
     return records.join(named, F.col("refers_to") == F.col("n_id"), "left").drop("n_id")
