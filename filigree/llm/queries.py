@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import media, mixing, packing, pii, simhash, warc
+from filigree.llm import linededup, media, mixing, neighbours, packing, pii, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +35,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.as_text(base), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("sentences")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
@@ -40,21 +50,61 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids", "padded")
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), least=50)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.text_as_wav(table(spark, sf_dir, "documents")).withColumn("of", F.struct("doc_id", "n_bytes"))
-    return media.wav_features(media.identify(stored, id_col="of")).select("id.*", "*").drop("id")
+    return media.store_and_read(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_neighbours": op2_neighbours,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
+    "op9_linededup": op9_linededup,
     "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_linededup": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents
+        ), u AS (
+            SELECT doc_id, raw, unnest(raw) AS line, generate_subscripts(raw, 1) AS i FROM d
+        ), l AS (
+            SELECT doc_id, i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s,
+                len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM u
+        ), n AS (
+            SELECT *, row_number() OVER w AS k, sum(words) OVER w AS upto FROM l WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), a AS (
+            SELECT doc_id, list(s ORDER BY k) AS lines FROM n GROUP BY doc_id
+        ), p AS (
+            SELECT x.doc_id, x.k AS s, min(y.k) AS e FROM n x JOIN n y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.upto - x.upto + x.words >= 50 GROUP BY ALL
+            UNION
+            SELECT y.doc_id, max(x.k), y.k FROM n x JOIN n y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.upto - x.upto + x.words >= 50 GROUP BY y.doc_id, y.k
+        ), c AS (
+            SELECT p.doc_id, f.i AS f, t.i AS t, list_slice(lines, p.s, p.e) AS content
+            FROM p JOIN a USING (doc_id) JOIN n f ON f.doc_id = p.doc_id AND f.k = p.s JOIN n t ON t.doc_id = p.doc_id AND t.k = p.e
+        ), o AS (
+            SELECT *, min({'d': doc_id, 'f': f}) OVER (PARTITION BY content) AS origin FROM c
+        ), g AS (
+            SELECT DISTINCT u.doc_id, u.i FROM o JOIN u ON o.doc_id = u.doc_id AND u.i BETWEEN f AND t WHERE {'d': o.doc_id, 'f': f} > origin
+        ), r AS (
+            SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g
+        ), h AS (
+            SELECT doc_id, count(*) AS n_removed, count(DISTINCT island) AS n_runs FROM r GROUP BY doc_id
+        ), k AS (
+            SELECT u.doc_id, string_agg(line, chr(10) ORDER BY u.i) AS kept FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY u.doc_id
+        )
+        SELECT d.doc_id, len(raw) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
