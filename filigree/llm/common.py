@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,12 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: the driver deletes them once nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(column: str) -> Column:
     """The text as bytes, null as empty, without a copy through Python strings."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import materialise, rows_of, through, utf8
+from filigree.llm.common import free, materialise, rows_of, through, utf8
 from filigree.llm.components import components
 
 SEED = 42
@@ -207,3 +207,235 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprint_text(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# Near copies by their similarity, for wider radii than blocks of bits can prove.
+
+WORDS64 = 4
+#: Odd multipliers that make independent hashes of one. Fixed values.
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes (uint64) of the shingles of a text; of all words if they are fewer; none without words."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = len(words) - shingle + 1
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def wide_simhash(hashes: np.ndarray) -> bytes:
+    """256 bits of a set of hashes, each the majority of a mixed bit."""
+    if not len(hashes):
+        return bytes(8 * WORDS64)
+    ones = np.zeros(BITS * WORDS64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14), None] * np.array(MIXERS, np.uint64)
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, node, fp``: a hash of the whole text, and its 256 bits."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            fp = [wide_simhash(shingle_hashes(b.as_py(), shingle)) for b in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["doc_id", "node", "fp"])
+
+    return through(d, "doc_id long, node long, fp binary", run)
+
+
+def node_of(text_col: str) -> Column:
+    """The same for equal texts; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def nearest_links(nodes: DataFrame, radius: int, turns: int, most: int = 4096, seed: int = 11) -> DataFrame:
+    """``a, b``: each node and the nearest to it within ``radius`` of 256 bits, of every shard that it is in.
+
+    Shards are the values of 16 bits at a time, of all 256 in ``turns`` random orders. They are dealt by ranges of shard and
+    fingerprint, so that a very frequent shard is spread over tasks; it is searched in stretches of ``most``
+    fingerprints, which other orders of the bits cut elsewhere.
+    """
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(BITS * WORDS64) for _ in range(turns)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 2048):
+            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS64)
+            bits = np.unpackbits(fp, axis=1)
+            for t, order in enumerate(orders):
+                value = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u2").astype(np.int32)
+                shard = (value + ((t * value.shape[1] + np.arange(value.shape[1], dtype=np.int32)) << 16)).ravel()
+                rows = np.repeat(np.arange(len(fp)), value.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["shard", "node", "fp"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS64)))
+                size += batch.num_rows
+            if size >= 1 << 15:
+                shard, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                # The last shard goes on in the next batch, unless it fills this one.
+                cut = int(np.searchsorted(shard, shard[-1])) or len(shard)
+                yield _nearest(shard[:cut], node[:cut], fp[:cut], radius, most)
+                held, size = [(shard[cut:], node[cut:], fp[cut:])], len(shard) - cut
+        if size:
+            yield _nearest(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, most)
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = through(nodes.select("node", "fp"), "shard int, node long, fp binary", deal)
+    near = through(dealt.repartitionByRange(n, "shard", "fp").sortWithinPartitions("shard", "fp"), "a long, b long", search)
+    return near.distinct()
+
+
+def _nearest(shard: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, most: int) -> pa.RecordBatch:
+    """Links of sorted rows: small shards are compared directly, row against row; a larger one is a BK-tree."""
+    n = len(shard)
+    best = np.full(n, radius + 1)
+    other = np.full(n, -1)
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    sizes = np.diff(np.append(cuts, n))
+    length = np.repeat(sizes, sizes)
+
+    def offer(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        for x, y in ((i, j), (j, i)):
+            order = np.lexsort((far, x))
+            x, y, d = x[order], y[order], far[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+            x, y, d = x[first], y[first], d[first]
+            nearer = d < best[x]
+            best[x[nearer]], other[x[nearer]] = d[nearer], y[nearer]
+
+    small = 24
+    for step in range(1, small):
+        i = np.flatnonzero((shard[step:] == shard[:-step]) & (length[: n - step] <= small)) if step < n else np.zeros(0, int)
+        if not len(i):
+            break
+        far = np.bitwise_count(fp[i] ^ fp[i + step]).sum(1, dtype=np.int64)
+        ok = far <= radius
+        offer(i[ok], i[ok] + step, far[ok])
+    for at, size in zip(cuts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        for start in range(at, at + size, most):
+            part = slice(start, min(start + most, at + size))
+            i, j, far = wide_tree_links(fp[part], radius)
+            offer(i + start, j + start, far)
+    got = np.flatnonzero(other >= 0)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[got], node[other[got]])), pa.array(np.minimum(node[got], node[other[got]]))], names=["a", "b"])
+
+
+def wide_tree_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value the pair with its nearest earlier and later tree mates within ``radius``, by a BK-tree."""
+    n = len(fp)
+    best, other = np.full(n, radius + 1), np.full(n, -1)
+    stack = [(np.arange(n), np.arange(n))]
+    while stack:
+        members, seekers = stack.pop()
+        node, rest = members[0], members[1:]
+        seekers = seekers[seekers > node]
+        far = np.bitwise_count(fp[seekers] ^ fp[node]).sum(1, dtype=np.int64)
+        near = far < best[seekers]
+        best[seekers[near]], other[seekers[near]] = far[near], node
+        if len(far) and far.min() < best[node]:
+            best[node], other[node] = far.min(), seekers[far.argmin()]
+        if not len(rest) or not len(seekers):
+            continue
+        edge = np.bitwise_count(fp[rest] ^ fp[node]).sum(1, dtype=np.int64)
+        for e in np.unique(edge):
+            below = np.abs(far - e) <= radius
+            if below.any():
+                stack.append((rest[edge == e], seekers[below]))
+    got = np.flatnonzero(other >= 0)
+    return got, other[got], best[got]
+
+
+def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links between texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``texts``: ``node, b``, one row a node that has links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            sets = [np.unique((shingle_hashes(b.as_py(), shingle) >> np.uint64(32)).astype("<u4")).tobytes() for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            ok = []
+            for x, y in zip(*batch.columns[2:], strict=True):
+                x, y = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    ok.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    # Repeated rows of a text give the same set.
+    sets = through(texts, "node long, set binary", run).groupBy("node").agg(F.first("set").alias("set"))
+    sets = materialise(sets, "simhash-sets")
+    left = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    pairs = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return through(pairs, "a long, b long", compare)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 58, turns: int = 3) -> DataFrame:
+    """``node, group, first``: groups of texts that chains of near copies join, and the group's smallest document id.
+
+    One row for each different text (`node_of`). Near copies: a Jaccard similarity of ``similarity`` or more between
+    the sets of shingles of lower-cased words. Candidates are the nearest of 256-bit SimHash fingerprints in each
+    shard (`nearest_links`); every one is verified on whole texts. ``radius`` lies three deviations over what
+    the similarity makes expect, and ``turns`` of 16 shards each let 97 of 100 pairs at exactly 0.8 meet, and
+    more above it. All texts without words are one group. Null ids take part; ``first`` is null
+    where a group has no other.
+    """
+    spark = docs.sparkSession
+    base = materialise(wide_fingerprints(docs, id_col, text_col, shingle), "simhash-wide")
+    nodes = materialise(base.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")), "simhash-nodes")
+    near = materialise(nearest_links(nodes, radius, turns), "simhash-near")
+    free(spark)
+    ends = near.select(F.col("a").alias("e")).union(near.select(F.col("b").alias("e"))).distinct()
+    one = nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select(F.col("node").alias("o_node"), "first")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
+    texts = texts.join(one, (F.col("node") == F.col("o_node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "b")
+    sure = materialise(verified(near, texts, shingle, similarity), "simhash-verified")
+    free(spark)
+    linked = components(sure, "simhash-similar").withColumnRenamed("node", "l_node")
+    found = nodes.join(linked, F.col("node") == F.col("l_node"), "left").select("node", "first", F.coalesce("root", "node").alias("group"))
+    found = materialise(found, "simhash-groups")
+    least = found.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("least"))
+    return found.join(least, F.col("group") == F.col("g")).select("node", "group", F.col("least").alias("first"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of `similar_groups` one stays, that with the smallest id.
+
+    Of rows that share it, one of the text with the smallest hash stays. Columns are those of ``docs``, whatever their names.
+    """
+    groups = similar_groups(docs, id_col, text_col, **options)
+    base = docs.select(F.col(id_col).cast("long").alias("i"), node_of(text_col).alias("n")).distinct()
+    kept = base.join(groups, F.col("n") == F.col("node")).groupBy("group")
+    kept = kept.agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"), F.col("n"))).alias("k")).select(F.col("k.i").alias("k_i"), F.col("k.n").alias("k_n"))
+    kept = materialise(kept, "simhash-kept")
+    free(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), node_of(text_col).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(kept, (F.col("n") == F.col("k_n")) & F.col("i").eqNullSafe(F.col("k_i")), "left_semi")
+    return rows.dropDuplicates(["n", "i"]).select("row.*")
