@@ -1,0 +1 @@
+"""Rare patterns in graphs, as DataFrame operators."""

@@ -1,0 +1 @@
+"""Nothing yet: the engine has batch operators only, and no source that streams."""
