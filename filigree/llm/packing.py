@@ -9,6 +9,7 @@ are the boundary records that join windows.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,11 +39,13 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=2)
 def load_encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text by the tokenizer file, special strings in a text being ordinary text.
 
     A byte-level BPE whose ids are its merge ranks runs in tiktoken, which gives the same ids as
-    ``tokenizers`` about five times as fast; any other file runs in ``tokenizers``.
+    ``tokenizers`` about five times as fast; any other file runs in ``tokenizers``. A Python worker
+    loads a file once, for all its tasks.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
