@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``length`` bytes covers it that also starts in a document with a smaller id. To
 find these strings over all documents without sorting all suffixes in one place, every string of that
-length is dealt by its minimiser (the least hash of its substrings of ``SEED_BYTES``): consecutive
+length is dealt by its minimiser (the least hash of its substrings of `seed_bytes`): consecutive
 strings with the same one are a stretch of text, and equal strings always meet in the same shard.
 
 1. `minimisers` of each block of documents, sorted and packed, meet by shard; back comes a bit for each that
@@ -28,9 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import bounded_batches, free, materialise, remove, utf8
+from filigree.llm.common import bounded_batches, free, materialise, utf8
+
+
+
+def seed_bytes(length: int) -> int:
+    """Bytes of the substrings that are hashed: about half of a string, in whole words of eight; few strings share as much by chance."""
+    return max(8, (length // 2 + 4) // 8 * 8)
+
 
-SEED_BYTES = 16
 #: Bits of a minimiser that tell shards and minimisers apart; equal ones of different strings only cost time.
 KEY_BITS = 40
 #: Odd multipliers. Fixed values.
@@ -46,13 +52,14 @@ def minimisers(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw = np.frombuffer(b, np.uint8)
-    word = np.ndarray((len(b) - 7,), "<u8", raw, strides=(1,))
-    h = word[: len(b) - SEED_BYTES + 1] * np.uint64(MIX[0])
-    h += word[8 : 8 + len(h)] * np.uint64(MIX[1])
+    word, seed = np.ndarray((len(b) - 7,), "<u8", raw, strides=(1,)), seed_bytes(length)
+    h = word[: len(b) - seed + 1] * np.uint64(MIX[0])
+    for at in range(8, seed, 8):  # each word by another odd number
+        h += word[at : at + len(h)] * np.uint64(MIX[1] * (at + 1) % (1 << 64))
     h ^= h >> np.uint64(29)
     h *= np.uint64(MIX[2])
     h ^= h >> np.uint64(32)
-    width, step = length - SEED_BYTES + 1, 1
+    width, step = length - seed + 1, 1
     while step < width:
         more = min(step, width - step)
         h = np.minimum(h[:-more], h[more:])
@@ -164,11 +171,11 @@ class Stretches:
         self.first, self.strings, self.key, self.sizes = first, strings, shard_key[first], self.count[first]
 
     def ask(self, number: int) -> Iterator[tuple]:
-        """Rows (shard, block, names, keys, low, sizes, text)."""
+        """Rows (shard, block, keys, low, sizes, text)."""
         for shard, at in cuts(self.shard):
             pick = self.order[at]
             text = b"".join(self.strings[i] for i in self.first[pick].tolist())
-            yield shard, number, self.names[pick].tobytes(), packed(self.key[pick]), packed(self.low[pick]), self.sizes[pick].astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)
+            yield shard, number, packed(self.key[pick]), packed(self.low[pick]), self.sizes[pick].astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)
 
 
 class Collection:
@@ -184,7 +191,10 @@ class Collection:
     def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int):
         m = len(starts)
         last = starts + sizes - 1
-        self.symbol = np.where(sizes > 0, text[np.maximum(last, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)  # 0: none is left
+        # Symbols are bytes plus one, as 0 says that none is left. UTF-8 has no byte 255.
+        wide = np.uint16 if len(text) and text.max() == 255 else np.uint8
+        text = text.astype(wide) + wide(1)
+        self.symbol = np.where(sizes > 0, text[np.maximum(last, 0)], 0).astype(wide)
         self.common = np.zeros(m, np.uint8)  # common prefix with the row before, as far as ``most``
         self.owner = np.arange(m, dtype=np.int32)
         self.at = sizes.astype(np.uint8)  # where the suffix starts in its string
@@ -195,8 +205,8 @@ class Collection:
             done += 1
             order = np.argsort(self.symbol, kind="stable")
             order = order[int(np.count_nonzero(self.symbol == 0)) :]
-            rank = np.empty(len(self.symbol), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(self.symbol), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             new = rank[place[active]] + m  # rows in the longer order
             fresh = np.zeros(m + len(order), bool)
             fresh[new] = True
@@ -221,7 +231,7 @@ class Collection:
             if len(order):
                 common[m] = 0
             left = sizes[active] - done
-            symbol = np.where(left > 0, text[np.maximum(starts[active] + left - 1, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
+            symbol = np.where(left > 0, text[np.maximum(starts[active] + left - 1, 0)], 0).astype(wide)
             by = np.argsort(new)
             self.symbol = self._merged(self.symbol, fresh, symbol[by])
             self.owner = self._merged(self.owner, fresh, active[by].astype(np.int32))
@@ -239,21 +249,24 @@ class Collection:
         return out
 
 
-def answer_stretches(rows: list[tuple], length: int, rows_at_once: int = 1 << 21) -> Iterator[tuple[int, bytes]]:
+def answer_stretches(rows: list[tuple], length: int, rows_at_once: int = 1 << 17) -> Iterator[tuple[int, bytes]]:
     """Rows (block, bits): for each stretch that a block asked for, 64 bits of which strings an earlier document has.
 
-    ``rows``: (block, names, keys, low, sizes, text) of one shard. All bits are set if a smaller document has the
+    ``rows``: (block, keys, low, sizes, text) of one shard. All bits are set if a smaller document has the
     whole stretch; else the bits hold for the smallest document that has it.
     """
     if not rows:
         return
-    names = np.concatenate([np.frombuffer(r[1], "V16") for r in rows])
-    keys = np.concatenate([unpacked(r[2], "<u8") for r in rows])
-    low = np.concatenate([unpacked(r[3], "<i8") for r in rows])
-    counts = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int64)
-    text = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(r[5]), np.uint8) for r in rows])
+    import xxhash
+
+    keys = np.concatenate([unpacked(r[1], "<u8") for r in rows])
+    low = np.concatenate([unpacked(r[2], "<i8") for r in rows])
+    counts = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
+    raw = b"".join(zstandard.ZstdDecompressor().decompress(r[4]) for r in rows)
+    text = np.frombuffer(raw, np.uint8)
     sizes = counts + length - 1
     starts = np.cumsum(sizes) - sizes
+    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[s : s + n]) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)), "V16")
     _, first, of = np.unique(names, return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, of, low)
@@ -282,7 +295,7 @@ def answer_stretches(rows: list[tuple], length: int, rows_at_once: int = 1 << 21
     out = np.where(low > least[of], np.uint64((1 << 64) - 1), bits[of])
     at = 0
     for r in rows:
-        n = len(r[4])
+        n = len(r[3])
         yield r[0], packed(out[at : at + n])
         at += n
 
@@ -315,7 +328,7 @@ def removed(block: Block, asked: Stretches, answers: dict[int, bytes], length: i
 
 KEYS = "shard int, block int, keys binary, several binary"
 BITS = "block int, shard int, bits binary"
-ASKED = "shard int, block int, names binary, keys binary, low binary, sizes binary, text binary"
+ASKED = "shard int, block int, keys binary, low binary, sizes binary, text binary"
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
@@ -351,7 +364,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         return _table(list(Stretches(Block(table, length), bits, length, n).ask(key[0].as_py())), ASKED)
 
     def fourth(key: tuple, table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "names", "keys", "low", "sizes", "text")), strict=True))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "keys", "low", "sizes", "text")), strict=True))
         return _table([(b, key[0].as_py(), x) for b, x in answer_stretches(rows, length)], BITS)
 
     def fifth(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
@@ -366,14 +379,13 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             out.append((i, len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
         return _table(out, OUT)
 
-    keys = materialise(d.groupBy("block").applyInArrow(first, KEYS), "repeats-keys")
-    free(spark)
+    keys = d.groupBy("block").applyInArrow(first, KEYS)
     bits = materialise(keys.groupBy("shard").applyInArrow(second, BITS), "repeats-bits")
-    remove(spark, keys)
-    asked = materialise(d.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(third, ASKED), "repeats-asked")
+    del keys
     free(spark)
+    asked = d.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(third, ASKED)
     answers = materialise(asked.groupBy("shard").applyInArrow(fourth, BITS), "repeats-answers")
-    remove(spark, asked)
+    del asked
     free(spark)
     got = bits.withColumn("step", F.lit(0)).union(answers.withColumn("step", F.lit(1)))
     return d.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(fifth, OUT)
