@@ -94,7 +94,7 @@ def train(spark: SparkSession, n_pairs: int = 2000, output: int = 16, rounds: in
         over = np.maximum(d[~test] @ w.T, 0)
         e = (over**2).sum(1)
         pos = y[~test] == 1
-        g = np.where(pos, 1 / max(1, pos.sum()), -1 / (1 + np.exp(-(margin - e))) / max(1, (~pos).sum()))
+        g = np.where(pos, 1 / max(1, pos.sum()), -1 / (1 + np.exp(np.clip(e - margin, -30, 30))) / max(1, (~pos).sum()))
         grad = (2 * over * g[:, None]).T @ d[~test]
         grad *= min(1.0, clip / (np.linalg.norm(grad) + 1e-12))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
