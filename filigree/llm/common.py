@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,36 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-#: The word of every contract here: a run without ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is configured."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="filigree-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
+from filigree.session import materialise, new_path, remove, shared_dir
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "bounded_batches", "free", "materialise", "new_path", "rank_within", "remove", "rows_of", "shared_dir", "through", "utf8"]
 
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing will read again."""
-    jvm = spark._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: The word of every contract here: a run without ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def free(spark: SparkSession) -> None:
