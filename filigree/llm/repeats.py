@@ -105,7 +105,9 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
 
 def cuts(x: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Each value of a sorted array and where it stands."""
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    if not len(x):
+        return
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     for s, e in zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True):
         yield int(x[s]), slice(s, e)
 
@@ -193,7 +195,7 @@ class Collection:
         last = starts + sizes - 1
         # Symbols are bytes plus one, as 0 says that none is left. UTF-8 has no byte 255.
         wide = np.uint16 if len(text) and text.max() == 255 else np.uint8
-        text = text.astype(wide) + wide(1)
+        text = np.append(text.astype(wide) + wide(1), wide(0))
         self.symbol = np.where(sizes > 0, text[np.maximum(last, 0)], 0).astype(wide)
         self.common = np.zeros(m, np.uint8)  # common prefix with the row before, as far as ``most``
         self.owner = np.arange(m, dtype=np.int32)

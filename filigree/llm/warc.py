@@ -221,40 +221,53 @@ def write_warc(records: DataFrame, path: str, most_records: int = 2000) -> None:
     text.write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
+class _Buffer:
+    """Bytes that arrive in chunks, read from the front."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data, self.at = iter(chunks), b"", 0
+
+    def more(self) -> bool:
+        got = next(self.chunks, None)
+        if got is None:
+            return False
+        self.data, self.at = self.data[self.at :] + got, 0
+        return True
+
+    def has(self, n: int) -> bool:
+        while len(self.data) - self.at < n:
+            if not self.more():
+                return False
+        return True
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What stands before the next ``mark``, which is skipped; None, and all is skipped, if there is none."""
+        while (end := self.data.find(mark, self.at)) < 0:
+            if not self.more():
+                self.at = len(self.data)
+                return None
+        out, self.at = self.data[self.at : end], end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+
 def warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower case) and block of each record in a stream of bytes; what can't be a record is skipped."""
-    data, at, more = b"", 0, True
-
-    def need(n: int) -> bool:
-        nonlocal data, at, more
-        while len(data) - at < n and more:
-            got = next(chunks, None)
-            more = got is not None
-            if more:
-                data, at = data[at:] + got, 0
-        return len(data) - at >= n
-
-    while need(1):
-        while data[at : at + 2] == b"\r\n" or (need(2) and data[at : at + 2] == b"\r\n"):
-            at += 2
-            if not need(1):
-                return
-        size = 1 << 12
-        while (end := data.find(b"\r\n\r\n", at)) < 0 and need(size):
-            size *= 2
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    b = _Buffer(chunks)
+    while (top := b.upto(b"\r\n\r\n")) is not None:
+        lines = top.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        if not lines[0].startswith("WARC/") or not head.get("content-length", "").isdigit():
-            at = end + 4
+        size = head.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not size.isdigit():
             continue
-        size = int(head["content-length"])
-        at = end + 4
-        if not need(size):
+        if not b.has(int(size)):
             return
-        yield head, data[at : at + size]
-        at += size
+        yield head, b.take(int(size))
+        if b.has(4) and b.data[b.at : b.at + 4] == b"\r\n\r\n":
+            b.take(4)
 
 
 def unzipped(data: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
