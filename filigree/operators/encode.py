@@ -50,6 +50,11 @@ def gcn(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, name: str)
     return out
 
 
+@CONVOLUTIONS.register("graph")
+def graph_conv(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, name: str) -> np.ndarray:
+    return linear(gather(x, src, dst), w, f"{name}.lin") + linear(x, w, f"{name}.root")
+
+
 def forward(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, n_layers: int, conv: str = "SAGE") -> np.ndarray:
     """Embedding of one graph."""
     h = linear(x, w, "pre")
@@ -88,6 +93,7 @@ def random_weights(input_dim: int = 2, hidden: int = 16, output: int = 16, n_lay
             put(f"conv{k}.nn1", hidden, hidden)
         else:
             put(f"conv{k}.lin", d, hidden)
+            put(f"conv{k}.root", d, hidden)
     put("post0", hidden * (n_layers + 1), hidden)
     put("post1", hidden, output)
     return w

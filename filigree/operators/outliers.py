@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.operators import contain, sampling
+from filigree.operators import contain, metrics
 from filigree.registry import DETECTORS
 
 
@@ -130,5 +129,22 @@ def starting_nodes(embs: DataFrame, n: int, tau: float = 1e-9) -> DataFrame:
     return embs.join(f, F.col("nb") == F.col("qid")).groupBy("anchor").agg(F.min("freq").alias("freq")).orderBy("freq", "anchor").limit(n)
 
 
-Detector = Callable[..., DataFrame]
-hash_sample = sampling.hash_sample
+def embeddings_of(found: list[DataFrame], embs: DataFrame) -> DataFrame:
+    """Embeddings of what each detector found, one after another: an anchor that two found is there twice."""
+    out = None
+    for f in found:
+        part = embs.join(f.select(F.col("anchor").alias("f_anchor")).distinct(), F.col("anchor") == F.col("f_anchor"), "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def structural_rescore(beams: DataFrame, n_trees: int = 200, least: int = 5, seed: int = 42) -> DataFrame:
+    """``beam, structural_score``: how easily a beam is isolated by frequency, density, gradient, size and largest degree, moved to [0, 1].
+
+    ``beams`` has these as columns; fewer than ``least`` beams keep no score.
+    """
+    d = beams.select("beam", F.array(*[F.col(c).cast("double") for c in ("freq", "density", "gradient", "size", "max_degree")]).alias("emb"))
+    if d.count() < least:
+        return d.select("beam", F.lit(None).cast("double").alias("structural_score"))
+    s = isolation_scores(d, id_col="beam", n_trees=n_trees, seed=seed)
+    return metrics.min_max(s.select(F.col("id").alias("beam"), "iso_score"), "iso_score", "structural_score").select("beam", "structural_score")

@@ -16,7 +16,7 @@ from filigree.operators import contain, encode, generate, graph, metrics, outlie
 from filigree.plans import detect
 from filigree.registry import SCORERS
 from filigree.session import materialise
-from filigree.sources import graphs
+from filigree.sources import files, graphs
 from filigree.sources.graphs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -485,6 +485,30 @@ def starting_nodes_intersect(spark, sf):
     return outliers.combine(_found(spark, sf), "intersection")
 
 
+@query(COUNTS + " SELECT qid AS anchor FROM freqs WHERE freq <= 0.05 UNION ALL SELECT node FROM degrees WHERE degree >= 4")
+def outlier_embeddings(spark, sf):
+    e = embedded(spark, sf)[2]
+    return outliers.embeddings_of(_found(spark, sf), e).select("anchor")
+
+
+@query()
+def embedding_projection(spark, sf):
+    return files.projected(embedded(spark, sf)[2].select("nb", "emb")).select("nb", F.round(F.abs("x0"), 4).alias("x0"), F.round(F.abs("x1"), 4).alias("x1"))
+
+
+@query()
+def structural_rescoring(spark, sf):
+    nodes, edges, m = egos(spark, sf)
+    shape = graph.subgraph_shape(m, edges).withColumn("beam", F.col("nb").cast("string"))
+    return outliers.structural_rescore(shape.select("beam", (F.col("n_edges") / 100).alias("freq"), "density", F.lit(0.0).alias("gradient"), F.col("n_nodes").alias("size"), "max_degree"))
+
+
+@query(GRAPH + " SELECT round(0.33::DOUBLE * (15 / count(*)::DOUBLE) + (1 - 0.33::DOUBLE) * (7 / count(*)::DOUBLE), 9) AS max_strength FROM nodes")
+def max_strength(spark, sf):
+    n = base(spark, sf)[0].count()
+    return spark.range(1).select(F.round(scoring.max_strength("weighted", 15.0, 7, n, 0.33), 9).alias("max_strength"))
+
+
 @query(COUNTS + " SELECT min(nb) AS nb, count(*) AS n FROM embs GROUP BY list_transform(emb, lambda x: round(x::DOUBLE, 6))")
 def unique_embeddings(spark, sf):
     e = embedded(spark, sf)[2]

@@ -34,3 +34,13 @@ def kept(spark: SparkSession, what: str, config: Config, made: Callable[[], Data
     if not exists(spark, f"{path}/_SUCCESS"):
         made().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def projected(embs: DataFrame, k: int = 2, emb: str = "emb") -> DataFrame:
+    """``embs`` with ``x0, x1, ...``: the first ``k`` principal components, to be drawn; their signs are arbitrary."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    d = embs.withColumn("_v", array_to_vector(F.col(emb).cast("array<double>")))
+    out = PCA(k=k, inputCol="_v", outputCol="_p").fit(d).transform(d).withColumn("_a", vector_to_array("_p"))
+    return out.select(*embs.columns, *[F.col("_a")[i].alias(f"x{i}") for i in range(k)])

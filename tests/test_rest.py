@@ -85,7 +85,7 @@ def test_training_improves_and_saves(spark, tmp_path):
     assert np.array_equal(train.Head.load(str(tmp_path / "head.npz")).weights, head.weights)
 
 
-@pytest.mark.parametrize("conv", ["SAGE", "GIN", "GCN"])
+@pytest.mark.parametrize("conv", ["SAGE", "GIN", "GCN", "graph"])
 def test_encoder_ignores_order_and_loops(conv):
     w = encode.random_weights(conv=conv)
     x = np.array([[1.0, 1], [0, 1], [0, 1], [0, 1]])
