@@ -51,9 +51,9 @@ def mix(
     cap: float = 3.0,
     seed: int = 20,
     tries: int = 64,
-    carry: bool = False,
+    mark: bool = False,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of each document (+ its whole ``row`` if ``carry``).
+    """``doc_id, source, size, source_size, target, copies, taken`` of each document (+ the ``mark`` of its row).
 
     Null texts have size 0; documents without words get 0 copies, and so do sources without words.
     Null sources are a source. Null ids and repeated rows are documents like others; rows that tie in
@@ -68,8 +68,9 @@ def mix(
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("tie"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
+        *([mark_of(docs).alias("mark")] if mark else []),
     )
+    base = materialise(base, "mix-sizes")  # texts are read once, the ranges are sampled and dealt from numbers
     ranked = rank_within(base, "source", ["size", "tie", "doc_id"], "rank", "mix-rank")
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -90,10 +91,21 @@ def mix(
     plan = targets.join(chosen, F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
     out = ranked.join(plan, same).withColumn("copies", copies(F.col("offset"), F.col("mask")))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["row"] if carry else []))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["mark"] if mark else []))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each document as often as the mix takes it."""
-    taken = mix(docs, carry=True, **options).filter(F.col("copies") > 0)
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+def mark_of(docs: DataFrame) -> Column:
+    """A hash of a whole row, nulls and where they stand included."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each document as often as the mix takes it.
+
+    Copies come back to their rows by id and ``mark``; equal rows are one, which is emitted as often as all of them together.
+    """
+    taken = mix(docs, id_col=id_col, mark=True, **options).filter(F.col("copies") > 0)
+    taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark")).agg(F.sum("copies").alias("copies"))
+    rows = docs.select(F.col(id_col).alias("i"), mark_of(docs).alias("m"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(taken, F.col("i").eqNullSafe(F.col("t_id")) & (F.col("m") == F.col("t_mark"))).dropDuplicates(["i", "m"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

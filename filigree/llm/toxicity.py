@@ -47,7 +47,7 @@ class Model:
 class _Words(dict):
     """Weight of a word, kept for words seen before; NaN for what ends a sentence."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         super().__init__({e: float("nan") for e in ENDS})
         self.model, self.most = model, most
 
