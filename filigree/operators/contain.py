@@ -41,8 +41,12 @@ def structural_embedding(members: DataFrame, edges: DataFrame) -> DataFrame:
 
     So a graph that contains another one violates it by exactly 0; the reverse need not hold. ``members`` carries ``anchor``.
     """
-    counts = structural_counts(members, edges)
-    return counts.select("nb", "anchor", F.array(*[F.log1p(F.col(c).cast("double")).cast("float") for c in STRUCTURAL]).alias("emb"))
+    return structural_counts(members, edges).select("nb", "anchor", as_embedding().alias("emb"))
+
+
+def as_embedding() -> Column:
+    """Of the columns of ``STRUCTURAL``."""
+    return F.array(*[F.log1p(F.col(c).cast("double")).cast("float") for c in STRUCTURAL])
 
 
 def structural_counts(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,17 +82,19 @@ def containment_counts(
     ref_freq: str | None = None,
     query_block: int = 2048,
     ref_block: int = 16_384,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``qid, n_contained`` (and ``max_freq``, the largest ``ref_freq`` that contains it): of every query, 0 included.
 
     Blocks of queries meet blocks of references, both bounded; within a pair of blocks the references are sorted
     by their largest component, and only those that can contain a query (its largest component is at most theirs
     plus the root of ``tau``) are compared, a tile at a time. Null embeddings and ids take no part.
+    ``sizes``: how many queries and references there are, if that is known; else they are counted.
     """
     q = queries.filter(F.col(emb).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("qid"), F.col(emb).alias("v"))
     r = refs.filter(F.col(emb).isNotNull()).select(F.col(ref_id).cast("long").alias("rid"), F.col(emb).alias("v"), (F.col(ref_freq) if ref_freq else F.lit(None)).cast("double").alias("f"))
-    n_q = max(1, -(-q.count() // query_block))
-    n_r = max(1, -(-r.count() // ref_block))
+    n_q, n_r = sizes or (q.count(), r.count())
+    n_q, n_r = max(1, -(-n_q // query_block)), max(1, -(-n_r // ref_block))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q = q.select("qid", "v", spread("qid", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
     r = r.select("v", "f", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), spread("rid", n_r).alias("rb"))
@@ -125,8 +131,10 @@ def containment_counts(
 
 def frequencies(queries: DataFrame, refs: DataFrame, tau: float, n_refs: int | None = None, **columns) -> DataFrame:
     """``qid, n_contained, freq``: the count over the number of references."""
-    n = refs.filter(F.col(columns.get("emb", "emb")).isNotNull()).count() if n_refs is None else n_refs
-    return containment_counts(queries, refs, tau, **columns).withColumn("freq", F.col("n_contained") / F.lit(float(max(1, n))))
+    emb = F.col(columns.get("emb", "emb"))
+    n = refs.filter(emb.isNotNull()).count() if n_refs is None else n_refs
+    sizes = (n if queries is refs else queries.filter(emb.isNotNull()).count(), n)
+    return containment_counts(queries, refs, tau, sizes=sizes, **columns).withColumn("freq", F.col("n_contained") / F.lit(float(max(1, n))))
 
 
 def lower_bounded(counts: DataFrame, m: int, max_strength: float) -> DataFrame:

@@ -72,21 +72,25 @@ def grown(beams: DataFrame, cands: DataFrame) -> DataFrame:
     return g.withColumn("last_score", F.col("score")).withColumn("neigh", neigh).withColumn("beam", F.concat_ws(",", F.col("beam"), F.col("added").cast("string"))).withColumn("size", F.size("neigh")).drop("added")
 
 
-def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False) -> DataFrame:
-    """Beams with frequency, weight, score and what the score needs, measured against ``refs`` (``nb, emb`` and, if ``known``, ``freq``)."""
-    m = members_of(beams)
-    embs = contain.structural_embedding(m, edges).select(F.xxhash64("nb").alias("qid"), F.col("nb").alias("q_beam"), "emb")
-    embs = materialise(embs, "search-embs")
-    n_refs = refs.count()
-    counts = contain.containment_counts(embs, refs, config.tau, query_id="qid", ref_id="nb", ref_freq="freq" if known else None)
+def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False, n_refs: int | None = None) -> DataFrame:
+    """Beams with frequency, weight, score and what the score needs, measured against ``refs`` (``nb, emb`` and, if ``known``, ``freq``).
+
+    Embedding and density come from the same counts, so the induced subgraphs are joined once.
+    """
+    beams = materialise(beams, "search-grown")
+    n_refs = refs.count() if n_refs is None else n_refs
+    counts = contain.structural_counts(members_of(beams), edges)
+    pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
+    density = F.when(F.col("n_nodes") < 2, 0.0).otherwise(F.col("n_edges") / pairs).cast("double")
+    shape = materialise(counts.select(F.col("nb").alias("q_beam"), F.xxhash64("nb").alias("qid"), contain.as_embedding().alias("emb"), density.alias("new_density")), "search-shape")
+    hits = contain.containment_counts(shape, refs, config.tau, query_id="qid", ref_id="nb", ref_freq="freq" if known else None, sizes=(beams.count(), n_refs))
     if known:
-        freqs = contain.lower_bounded(counts, n_refs, config.max_strength)
+        freqs = contain.lower_bounded(hits, n_refs, config.max_strength)
     else:
-        freqs = counts.select("qid", (F.col("n_contained") / F.lit(float(max(1, n_refs)))).alias("freq"))
-    freqs = embs.select("qid", "q_beam").join(freqs, "qid").select("q_beam", F.col("freq").alias("new_freq"))
-    shape = graph.subgraph_shape(m, edges).select(F.col("nb").alias("s_beam"), F.col("density").alias("new_density"))
-    b = beams.join(freqs, F.col("beam") == F.col("q_beam")).join(shape, F.col("beam") == F.col("s_beam")).drop("q_beam", "s_beam")
-    b = b.withColumn("freq", F.col("new_freq")).withColumn("density", F.col("new_density").cast("double")).drop("new_freq", "new_density")
+        freqs = hits.select("qid", (F.col("n_contained") / F.lit(float(max(1, n_refs)))).alias("freq"))
+    freqs = shape.select("qid", "q_beam", "new_density").join(freqs.select("qid", F.col("freq").alias("new_freq")), "qid").drop("qid")
+    b = beams.join(freqs, F.col("beam") == F.col("q_beam")).drop("q_beam")
+    b = b.withColumn("freq", F.col("new_freq")).withColumn("density", F.col("new_density")).drop("new_freq", "new_density")
     b = b.withColumn("weight", F.col("size") / F.lit(float(num_nodes)))
     b = b.withColumn("history", F.concat("history", F.array(F.struct(F.col("size").alias("size"), F.col("freq").alias("freq")))))
     b = b.withColumn("gradient", scoring.history_gradient("history"))
@@ -186,13 +190,14 @@ def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConf
     if config.sample_size:
         refs = sampling.hash_sample(refs, "nb", config.sample_size, config.seed, "refs")
     refs = materialise(refs, "search-refs")
+    n_refs = refs.count()
     beams = materialise(initial(starts, e, config), "search-beams")
     done = spark.createDataFrame([], BEAM)
     votes: DataFrame | None = None
     tell = [CALLBACKS.build(c) if isinstance(c, str) else c for c in config.callbacks]
     for step in range(max(1, config.min_subgraph_size), config.max_steps):
         c = candidates(beams, e, config.sample_random_cands, config.max_cands, config.seed + step)
-        now = materialise(scored(grown(beams, c), e, refs, config, num_nodes, known), "search-scored")
+        now = materialise(scored(grown(beams, c), e, refs, config, num_nodes, known, n_refs), "search-scored")
         now = prune(now, config.min_strength, config.max_strength, config.max_unchanged)
         kept = keep_tied(now, votes, config.n_beams) if config.use_votes else keep_top(now, config.n_beams, config.freq_drop_weight)
         kept = materialise(kept, "search-kept")
@@ -207,7 +212,6 @@ def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConf
         if config.use_votes:
             more = count_votes(kept)
             votes = more if votes is None else votes.unionByName(more).groupBy("node").agg(F.sum("votes").alias("votes"))
-            votes = materialise(votes, "search-votes")
         for t in tell:
             t.fire("on_step_end", step=step, beams=kept)
         if beams.isEmpty():

@@ -683,7 +683,7 @@ def start_anti_join(spark, sf):
 def _search(spark, sf, **options) -> DataFrame:
     nodes, edges, e = embedded(spark, sf)
     starts = outliers.starting_nodes(e, 20).select(F.col("anchor").alias("node"))
-    config = search.SearchConfig(max_strength=0.05, max_steps=4, max_cands=8, **options)
+    config = search.SearchConfig(**{"max_strength": 0.25, "max_steps": 5, "max_cands": 8} | options)
     out = search.run(starts, edges, e.select("nb", "emb"), config, nodes.count())
     return out.select("start", "beam", "size", F.round("freq", 9).alias("freq"), F.round("score", 9).alias("score"))
 
@@ -695,7 +695,7 @@ def beam_search(spark, sf):
 
 @query()
 def beam_search_sampled(spark, sf):
-    return _search(spark, sf, sample_size=200, scorer="structural", add_verified_neighs=True, n_beams=2)
+    return _search(spark, sf, sample_size=200, scorer="structural", min_strength=-1.0, max_strength=0.25, add_verified_neighs=True, n_beams=2)
 
 
 @query()
