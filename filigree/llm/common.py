@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,9 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def free(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: the driver deletes them once nothing refers to them."""
+    """Let go of the shuffle files of finished jobs: the driver deletes them, a moment after nothing refers to them."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def utf8(column: str) -> Column:

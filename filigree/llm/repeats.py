@@ -5,7 +5,7 @@ find these strings over all documents without sorting all suffixes in one place,
 length is dealt by its minimiser (the least hash of its substrings of `seed_bytes`): consecutive
 strings with the same one are a stretch of text, and equal strings always meet in the same shard.
 
-1. `minimisers` of each block of documents, sorted and packed, meet by shard; back comes a bit for each that
+1. `minimisers` of all documents, sorted and packed by block, meet by shard; back comes a bit for each that
    says whether another document has it too. Nine of ten stretches end here.
 2. The other stretches meet by shard. Equal ones are one, with the smallest document that has it. For those left, the
    shard builds the Burrows-Wheeler transform and the common prefixes of the collection column-wise:
@@ -15,7 +15,7 @@ strings with the same one are a stretch of text, and equal strings always meet i
 3. The answers go back to the blocks, as bit sets, and the bytes go.
 
 Blocks and shards are bounded; a minimiser in more than ``hot`` blocks is dealt again, by each whole string. The text is
-moved by block in each step rather than kept, and the steps between are small tables in the shared folder.
+moved by block in steps 2 and 3 rather than kept, and the steps between are small tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import bounded_batches, free, materialise, utf8
+from filigree.llm.common import bounded_batches, free, materialise, rows_of, through, utf8
 
 
 
@@ -67,6 +67,7 @@ def minimisers(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(cut, n))
     key = (h[cut] * np.uint64(MIX[3])) >> np.uint64(64 - KEY_BITS)
+    width = min(width, 64)  # an answer is as many bits
     parts = -(-count // width)
     if parts.max() > 1:
         key, first, total = np.repeat(key, parts), np.repeat(cut, parts), np.repeat(count, parts)
@@ -88,9 +89,6 @@ class Block:
         self.place = np.array(self.places, np.int64)[self.row] if rows else np.zeros(0, np.int64)
         self.keys, self.of = np.unique(self.key, return_inverse=True)
 
-    def shard(self, keys: np.ndarray, n: int) -> np.ndarray:
-        return ((keys * np.uint64(n)) >> np.uint64(KEY_BITS)).astype(np.int64)
-
 
 def packed(x: np.ndarray) -> bytes:
     """Compressed, the bytes of equal weight together."""
@@ -112,30 +110,40 @@ def cuts(x: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(x[s]), slice(s, e)
 
 
-def ask_keys(block: Block, number: int, shards: int) -> Iterator[tuple]:
-    """Rows (shard, block, keys, several): a shard's minimisers, and whether several documents here have it."""
-    low, high = np.full(len(block.keys), np.iinfo(np.int64).max), np.full(len(block.keys), np.iinfo(np.int64).min)
-    np.minimum.at(low, block.of, block.place)
-    np.maximum.at(high, block.of, block.place)
-    for shard, at in cuts(block.shard(block.keys, shards)):
-        yield shard, number, packed(block.keys[at]), np.packbits(low[at] < high[at]).tobytes()
+def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys * np.uint64(n)) >> np.uint64(KEY_BITS)).astype(np.int64)
+
+
+def ask_keys(parts: list[tuple[int, int, np.ndarray]], shards: int) -> Iterator[tuple]:
+    """Rows (shard, block, keys, several) of some documents (block, place, keys): a shard's minimisers, sorted, and whether several places have it."""
+    key = np.concatenate([k for _, _, k in parts])
+    n = [len(k) for _, _, k in parts]
+    block, place = np.repeat([b for b, _, _ in parts], n), np.repeat(np.array([p for _, p, _ in parts], np.int64), n)
+    order = np.lexsort((place, key, block))
+    key, block, place = key[order], block[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(key) else np.zeros(0, int)
+    last = np.append(first[1:], len(key)) - 1
+    key, block, several = key[first], block[first], place[first] < place[last]
+    # Shards are ranges of keys, so both together are in order.
+    for at, part in cuts(block * shards + shard_of(key, shards)):
+        yield at % shards, at // shards, packed(key[part]), np.packbits(several[part]).tobytes()
 
 
 def answer_keys(blocks: list[int], keys: list[bytes], several: list[bytes], hot: int) -> Iterator[tuple[int, bytes]]:
-    """Rows (block, bits): two bits for each key that a block asked for, whether it is shared and whether it is hot."""
+    """Rows (block, bits): two bits for each different key that a block asked for, in order: whether it is shared and whether it is hot."""
     lists = [unpacked(k, "<u8") for k in keys]
     if not lists:
         return
-    every = np.concatenate(lists)
-    flags = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(several, lists, strict=True)])
-    _, of, n = np.unique(every, return_inverse=True, return_counts=True)
-    some = np.bincount(of, flags) > 0
-    shared, many = ((n > 1) | some)[of], (n > hot)[of]
-    at = 0
-    for block, k in zip(blocks, lists, strict=True):
-        part = slice(at, at + len(k))
-        yield block, np.packbits(np.stack([shared[part], many[part]])).tobytes()
-        at += len(k)
+    key, block = np.concatenate(lists), np.repeat(blocks, [len(k) for k in lists])
+    flag = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(several, lists, strict=True)])
+    _, of, n = np.unique(key, return_inverse=True, return_counts=True)
+    shared, many = ((n > 1) | (np.bincount(of, flag) > 0))[of], (n > hot)[of]
+    order = np.lexsort((key, block))
+    key, block, shared, many = key[order], block[order], shared[order], many[order]
+    one = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+    block, shared, many = block[one], shared[one], many[one]
+    for number, part in cuts(block):
+        yield number, np.packbits(np.stack([shared[part], many[part]])).tobytes()
 
 
 class Stretches:
@@ -145,7 +153,7 @@ class Stretches:
         import xxhash
 
         shared, many = np.zeros(len(block.keys), bool), np.zeros(len(block.keys), bool)
-        for shard, at in cuts(block.shard(block.keys, shards)):
+        for shard, at in cuts(shard_of(block.keys, shards)):
             if shard in bits:
                 got = np.unpackbits(np.frombuffer(bits[shard], np.uint8), count=2 * (at.stop - at.start)).reshape(2, -1)
                 shared[at], many[at] = got[0], got[1]
@@ -167,7 +175,7 @@ class Stretches:
         self.names, first, self.of = np.unique(raw.view("V16").ravel(), return_index=True, return_inverse=True)
         self.low = np.full(len(self.names), np.iinfo(np.int64).max)
         np.minimum.at(self.low, self.of, self.place)
-        shard = block.shard(shard_key[first], shards) if len(first) else np.zeros(0, np.int64)
+        shard = shard_of(shard_key[first], shards) if len(first) else np.zeros(0, np.int64)
         self.order = np.argsort(shard, kind="stable")
         self.shard = shard[self.order]
         self.first, self.strings, self.key, self.sizes = first, strings, shard_key[first], self.count[first]
@@ -197,9 +205,10 @@ class Collection:
         wide = np.uint16 if len(text) and text.max() == 255 else np.uint8
         text = np.append(text.astype(wide) + wide(1), wide(0))
         self.symbol = np.where(sizes > 0, text[np.maximum(last, 0)], 0).astype(wide)
-        self.common = np.zeros(m, np.uint8)  # common prefix with the row before, as far as ``most``
+        small = np.uint8 if max(most, int(sizes.max(initial=0))) < 256 else np.int32
+        self.common = np.zeros(m, small)  # common prefix with the row before, as far as ``most``
         self.owner = np.arange(m, dtype=np.int32)
-        self.at = sizes.astype(np.uint8)  # where the suffix starts in its string
+        self.at = sizes.astype(small)  # where the suffix starts in its string
         place = np.arange(m)  # row of each string's longest suffix
         active = np.flatnonzero(sizes > 0)
         done = 0
@@ -212,7 +221,7 @@ class Collection:
             new = rank[place[active]] + m  # rows in the longer order
             fresh = np.zeros(m + len(order), bool)
             fresh[new] = True
-            common = np.zeros(m + len(order), np.uint8)
+            common = np.zeros(m + len(order), small)
             common[~fresh] = self.common
             # Rows whose predecessor changed: the new ones, and those after them.
             touched = fresh.copy()
@@ -237,7 +246,7 @@ class Collection:
             by = np.argsort(new)
             self.symbol = self._merged(self.symbol, fresh, symbol[by])
             self.owner = self._merged(self.owner, fresh, active[by].astype(np.int32))
-            self.at = self._merged(self.at, fresh, left[by].astype(np.uint8))
+            self.at = self._merged(self.at, fresh, left[by].astype(small))
             self.common = common
             moved = np.flatnonzero(~fresh)
             place = moved[place]
@@ -340,22 +349,35 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, hot: int = 2000) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None, hot: int = 2000) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of each document; ``kept`` are the bytes left, as binary.
 
     Strings are compared on the texts as they came, within documents, as UTF-8 bytes; a null text is empty. Texts shorter
     than ``length`` lose nothing. Null ids come after all others and are one place, as rows that share an id
     are: a string is not later than itself. One row for each row of ``docs``; no rows give none.
+    Blocks have 4 MB of text (up to 64 MB if there are very many, so that what a block asks of a shard stays worth a
+    row), and there is a shard for every four. Neither grows with a document's copies.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     place = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), place.alias("place"), utf8(text_col).alias("b"))
-    n = max(1, -(-(d.agg(F.sum(F.octet_length("b"))).head()[0] or 0) // block_bytes))
+    total = d.agg(F.sum(F.octet_length("b"))).head()[0] or 0
+    n = max(1, -(-total // (block_bytes or min(64 << 20, max(4 << 20, total // 50_000)))))
+    shards = max(1, n // 4)
     d = d.withColumn("block", F.pmod(F.xxhash64("place", "b"), F.lit(n)).cast("int"))
 
-    def first(key: tuple, table: pa.Table) -> pa.Table:
-        return _table(list(ask_keys(Block(table, length), key[0].as_py(), n)), KEYS)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in rows_of(batches):
+            for number, at, b in zip(*(batch.column(c).to_pylist() for c in ("block", "place", "b")), strict=True):
+                held.append((number, at, minimisers(b, length)[0]))
+                size += len(held[-1][2])
+            if size >= 1 << 20:
+                yield from _table(list(ask_keys(held, shards)), KEYS).to_batches()
+                held, size = [], 0
+        if held:
+            yield from _table(list(ask_keys(held, shards)), KEYS).to_batches()
 
     def second(key: tuple, table: pa.Table) -> pa.Table:
         cols = (table.column(c).to_pylist() for c in ("block", "keys", "several"))
@@ -363,7 +385,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     def third(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         bits = dict(zip(got.column("shard").to_pylist(), got.column("bits").to_pylist(), strict=True))
-        return _table(list(Stretches(Block(table, length), bits, length, n).ask(key[0].as_py())), ASKED)
+        return _table(list(Stretches(Block(table, length), bits, length, shards).ask(key[0].as_py())), ASKED)
 
     def fourth(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "keys", "low", "sizes", "text")), strict=True))
@@ -375,13 +397,13 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         for s, k, x in zip(*(got.column(c).to_pylist() for c in ("shard", "step", "bits")), strict=True):
             both[k][s] = x
         out = []
-        asked = Stretches(block, both[0], length, n)
+        asked = Stretches(block, both[0], length, shards)
         for i, b, gone in zip(block.ids, block.texts, removed(block, asked, both[1], length), strict=True):
             spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(b) else 0
             out.append((i, len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
         return _table(out, OUT)
 
-    keys = d.groupBy("block").applyInArrow(first, KEYS)
+    keys = through(d, KEYS, first)
     bits = materialise(keys.groupBy("shard").applyInArrow(second, BITS), "repeats-bits")
     del keys
     free(spark)

@@ -191,6 +191,13 @@ def test_repeats_against_brute_force(spark, docs, rows, hot):
     assert brute.multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute.multiset((r[0], *w) for r, w in zip(rows, want, strict=True))
 
 
+@pytest.mark.parametrize("length", [9, 20, 300])
+def test_repeats_of_other_lengths(docs, rows, length):
+    want = brute.repeats([(place(r[0]), r[1]) for r in rows if r[0] != 64], length)
+    got = repeats.drop_repeats(docs.filter("doc_id IS NULL OR doc_id <> 64"), length=length, block_bytes=4000).collect()
+    assert brute.multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute.multiset((r[0], *w) for r, w in zip([r for r in rows if r[0] != 64], want, strict=True))
+
+
 def test_repeats_query(spark, monkeypatch, docs, rows):
     use(monkeypatch, documents=docs)
     want = brute.repeats([(place(r[0]), r[1]) for r in rows], 50)
