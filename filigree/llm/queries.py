@@ -77,7 +77,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
+def _pii_sql() -> str:
+    """Gaps and matches as in the operator. RE2 has no look-behind, so the edges of the added kinds are tested on the gaps."""
+    base = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", "true"),
+        "ip": ("[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0"),
+        "card": ("[0-9]([ -]?[0-9])+", "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(d), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0"),
+        "phone": ("[+][0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
+    }
+    near = "lower(right(before, 40) || ' ' || left(after, 40))"
+    alone = "NOT regexp_matches(right(before, 1), '[{0}]') AND NOT regexp_matches(left(after, 1), '[{0}]')"
+    turned = "substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4)"
+    mod97 = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN 100 + ascii(c) - 55 ELSE c::BIGINT END)), lambda a, c: CASE WHEN c >= 100 THEN (a * 100 + c - 100) % 97 ELSE (a * 10 + c) % 97 END) = 1"
+    added = {
+        "iban": ("[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?", f"{alone.format('A-Za-z0-9')} AND {mod97}"),
+        "ssn": ("[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{alone.format('0-9-')} AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND regexp_matches({near}, 'ssn|social|security|tax')"),
+    }
+    kinds = base | added
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS place, '{name}' AS kind, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM t" for k, (name, (pattern, _)) in enumerate(kinds.items())
+    )
+    valid = " ".join(f"WHEN '{name}' THEN {test}" for name, (_, test) in kinds.items())
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}), u AS (
+            SELECT doc_id, place, kind, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM f
+        ), x AS (
+            SELECT doc_id, place, kind, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, gaps[i] AS before, gaps[i + 1] AS after,
+                (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS s FROM u
+        ), v AS (
+            SELECT doc_id, place, kind, s, kind || ':' || s || ':' || (s + length(m)) AS span FROM x WHERE CASE kind {valid} END
+        ), a AS (
+            SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+                string_agg(span, ',' ORDER BY s, place) FILTER (place < 4) AS base, string_agg(span, ',' ORDER BY s, place) AS spans FROM v GROUP BY doc_id
+        )
+        SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN a USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_pii": _pii_sql(),
+    "op3_repeats": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), g AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d)
+        ), f AS (
+            SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS earliest FROM g
+        ), l AS (
+            SELECT doc_id, p, p > coalesce(lag(p) OVER w, -51) + 50 AS fresh FROM f WHERE earliest < doc_id WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+        ), i AS (
+            SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM l
+        ), r AS (
+            SELECT doc_id, island, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY ALL
+        ), k AS (
+            SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM r
+        ), c AS (
+            SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+            FROM k JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+    """,
     "op9_linededup": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents
