@@ -127,7 +127,9 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.binary()), pa.array(lens, pa.binary())], names=["y", "ids", "lens"])
 
     got = through(rows.select("text", "y"), "y int, ids binary, lens binary", run).toLocalIterator()
-    return [(r["y"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["lens"], "<i4")) for r in got], counts
+    # Sorted, so that sums come out the same however the rows arrive.
+    made = sorted((r["y"], bytes(r["ids"]), bytes(r["lens"])) for r in got)
+    return [(y, np.frombuffer(ids, "<i4"), np.frombuffer(lens, "<i4")) for y, ids, lens in made], counts
 
 
 def fit(
