@@ -63,15 +63,16 @@ def _paths(tree: tuple, x: np.ndarray) -> np.ndarray:
 def isolation_scores(rows: DataFrame, id_col: str = "nb", emb: str = "emb", n_trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """``id, iso_score`` (0 to 1, higher: easier to isolate): an isolation forest.
 
-    A tree is grown on the ``sample`` rows with its lowest hashes, in a task of its own; the forest, of bounded size, goes to the scoring tasks.
+    A tree is grown on the ``sample`` rows of a pool with its lowest hashes, in a task of its own; the forest, of bounded size, goes to the scoring tasks.
     """
     d = rows.filter(F.col(emb).isNotNull()).select(F.col(id_col).alias("id"), F.col(emb).cast("array<double>").alias("v"))
     trees = d.sparkSession.range(n_trees).select(F.col("id").alias("tree"))
-    # A row is in few samples: candidates are those whose hash is under a generous share, so that the trees' rows are few.
-    n = d.count()
+    # Trees draw from a pool of as many rows as all of them need, so what is drawn has a bound whatever the size.
+    pool = d.withColumn("h", F.xxhash64(F.lit(seed), "id")).orderBy("h", "id").limit(n_trees * sample).drop("h")
+    n = pool.count()
     share = min(1.0, 4.0 * sample / max(1, n))
     u = F.pmod(F.xxhash64(F.lit(seed), "tree", "id"), F.lit(1 << 30)) / float(1 << 30)
-    dealt = d.join(F.broadcast(trees)).withColumn("u", u).filter(F.col("u") < share)
+    dealt = pool.join(F.broadcast(trees)).withColumn("u", u).filter(F.col("u") < share)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["u", "id"]).head(sample)
