@@ -9,7 +9,6 @@ are ranked again by their vectors in double precision.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
