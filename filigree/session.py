@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger("filigree")
+#: Tables that this process has made in the shared folder, and not removed.
+_made: list[str] = []
+
 
 def get_session(name: str = "filigree", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; ``conf`` has dots written as two underscores."""
@@ -28,7 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A place of its own in the shared folder; what is there goes when the driver ends."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def _clean() -> None:
+    context, jvm = SparkContext._active_spark_context, SparkContext._jvm
+    if jvm is None:
+        return
+    conf = context._jsc.hadoopConfiguration() if context is not None and context._jsc is not None else jvm.org.apache.hadoop.conf.Configuration()
+    for path in _made:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:
+            log.warning("%s is left", path)
+            return
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
