@@ -38,15 +38,18 @@ def down_sample(candidates: DataFrame, group: list[str], key: str, ratio: float
     return d.filter(keep).drop("_n", "_r")
 
 
-def choose_graphs(graphs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def choose_graphs(graphs: DataFrame, n: int, seed: int = 42, parts: int = 4096) -> DataFrame:
     """``draw, graph_id``: ``n`` draws of a graph with a probability that follows ``num_nodes``: a range lookup in the running sum."""
     total = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, 0)
     upto = graphs.withColumn("upto", F.sum("num_nodes").over(total)).withColumn("all", F.sum("num_nodes").over(Window.partitionBy()))
     draws = graphs.sparkSession.range(n).select(F.col("id").alias("draw"))
     u = F.conv(F.substring(order_of(seed, "graph", "draw"), 1, 12), 16, 10).cast("double") / float(16**12)
-    drawn = draws.withColumn("u", u).join(F.broadcast(upto))  # one row a graph of the collection
-    hit = (F.col("u") * F.col("all") < F.col("upto")) & (F.col("u") * F.col("all") >= F.col("upto") - F.col("num_nodes"))
-    return drawn.filter(hit).select("draw", "graph_id")
+    # Graphs and draws meet by stretches of the running sum, so neither is held whole anywhere.
+    part = lambda x: F.floor(x / F.col("all") * parts)
+    low = F.col("upto") - F.col("num_nodes")
+    spread = upto.filter("num_nodes > 0").select("graph_id", low.alias("low"), "upto", "all", F.explode(F.sequence(part(low), part(F.col("upto")))).alias("part"))
+    drawn = draws.select("draw", u.alias("u"), F.floor(u * parts).alias("part")).join(spread, "part")
+    return drawn.filter((F.col("u") * F.col("all") < F.col("upto")) & (F.col("u") * F.col("all") >= F.col("low"))).select("draw", "graph_id")
 
 
 def grow(starts: DataFrame, edges: DataFrame, size: str, most: int, seed: int = 42, multiset: bool = False) -> DataFrame:
