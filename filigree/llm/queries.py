@@ -116,6 +116,33 @@ def _pii_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op8_pii": _pii_sql(),
+    # No text here holds a whole medium, so none is told inside; the checksum is that of 512 steps of a bit each.
+    "op10_media": """
+        WITH t AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), p AS (
+            SELECT doc_id, length(h) // 2 AS n_bytes, greatest(64, (length(h) // 2 + 63) // 64 * 64) AS size, h FROM t
+        ), q AS (
+            SELECT doc_id, n_bytes, size, rpad(h, (2 * size)::INT, '0') AS x,
+                printf('%02X%02X%02X%02X', (36 + size) & 255, ((36 + size) >> 8) & 255, ((36 + size) >> 16) & 255, (36 + size) >> 24) AS riff,
+                printf('%02X%02X%02X%02X', size & 255, (size >> 8) & 255, (size >> 16) & 255, size >> 24) AS data FROM p
+        ), b AS (
+            SELECT doc_id, i, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT AS b FROM (SELECT doc_id, x, unnest(range(size)) AS i FROM q)
+        ), m AS (
+            SELECT doc_id, sum(b)::BIGINT AS total, count(*) AS n, sum(b * b)::BIGINT AS square FROM b GROUP BY doc_id
+        ), u AS (
+            SELECT doc_id, i, b > total // n AS up FROM b JOIN m USING (doc_id)
+        ), c AS (
+            SELECT doc_id, count(*) FILTER (turned) AS turns FROM (SELECT doc_id, up <> lag(up) OVER (PARTITION BY doc_id ORDER BY i) AS turned FROM u) GROUP BY doc_id
+        ), l AS (
+            SELECT doc_id, list_reduce(list_prepend(4294967295, list_transform(range(512), lambda k: CASE WHEN k % 8 = 0 THEN ('0x' || substr(tail, k // 4 + 1, 2))::BIGINT ELSE 0 END)),
+                lambda a, y: xor(xor(a, y) >> 1, 3988292384 * (xor(a, y) & 1))) AS crc FROM (SELECT doc_id, right(x, 128) AS tail FROM q)
+        )
+        SELECT doc_id, n_bytes, size AS payload_bytes, sha256(unhex(x)) AS payload_sha256, xor(crc, 4294967295) AS tail_crc32, size + 44 AS media_bytes,
+            sha256(unhex('52494646' || riff || '57415645666D7420100000000100010040' || '1F0000401F00000100080064617461' || data || x)) AS media_sha256,
+            printf('audio/wav;n=%d;mean=%.4f;sd=%.4f;turns=%d;inside=0', n, total / n::DOUBLE, sqrt(greatest(0, square / n::DOUBLE - (total / n::DOUBLE) * (total / n::DOUBLE))), turns) AS feature
+        FROM q JOIN m USING (doc_id) JOIN c USING (doc_id) JOIN l USING (doc_id)
+    """,
     "op3_repeats": """
         WITH d AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
