@@ -397,13 +397,13 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return through(pairs, "a long, b long", compare)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 58, turns: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 58, turns: int = 5) -> DataFrame:
     """``node, group, first``: groups of texts that chains of near copies join, and the group's smallest document id.
 
     One row for each different text (`node_of`). Near copies: a Jaccard similarity of ``similarity`` or more between
     the sets of shingles of lower-cased words. Candidates are the nearest of 256-bit SimHash fingerprints in each
     shard (`nearest_links`); every one is verified on whole texts. ``radius`` lies three deviations over what
-    the similarity makes expect, and ``turns`` of 16 shards each let 97 of 100 pairs at exactly 0.8 meet, and
+    the similarity makes expect, and ``turns`` of 16 shards each let 997 of 1000 pairs at exactly 0.8 meet, and
     more above it. All texts without words are one group. Null ids take part; ``first`` is null
     where a group has no other.
     """
