@@ -356,7 +356,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     than ``length`` lose nothing. Null ids come after all others and are one place, as rows that share an id
     are: a string is not later than itself. One row for each row of ``docs``; no rows give none.
     Blocks have 4 MB of text (up to 64 MB if there are very many, so that what a block asks of a shard stays worth a
-    row), and there is a shard for every four. Neither grows with a document's copies.
+    row), and there is a shard for every four.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
