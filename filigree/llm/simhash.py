@@ -248,15 +248,16 @@ def wide_simhash(hashes: np.ndarray) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, node, fp``: a hash of the whole text, and its 256 bits."""
+    """``doc_id, node, fp, size``: a hash of the whole text, its 256 bits, and the number of its shingles."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            fp = [wide_simhash(shingle_hashes(b.as_py(), shingle)) for b in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["doc_id", "node", "fp"])
+            hashes = [shingle_hashes(b.as_py(), shingle) for b in batch.column(2)]
+            fp, size = [wide_simhash(h) for h in hashes], [len(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary()), pa.array(size, pa.int32())], names=["doc_id", "node", "fp", "size"])
 
-    return through(d, "doc_id long, node long, fp binary", run)
+    return through(d, "doc_id long, node long, fp binary, size int", run)
 
 
 def node_of(text_col: str) -> Column:
@@ -264,25 +265,40 @@ def node_of(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def nearest_links(nodes: DataFrame, radius: int, turns: int, most: int = 4096, seed: int = 11) -> DataFrame:
-    """``a, b``: each node and the nearest to it within ``radius`` of 256 bits, of every shard that it is in.
-
-    Shards are the values of 16 bits at a time, of all 256 in ``turns`` random orders. They are dealt by ranges of shard and
-    fingerprint, so that a very frequent shard is spread over tasks; it is searched in stretches of ``most``
-    fingerprints, which other orders of the bits cut elsewhere.
-    """
+def _orders(turns: int, seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    orders = [rng.permutation(BITS * WORDS64) for _ in range(turns)]
+    return [rng.permutation(BITS * WORDS64) for _ in range(turns)]
+
+
+def _shard_values(fp: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The values of 16 bits at a time, in the given order, of fingerprints (rows of bytes)."""
+    bits = np.unpackbits(fp, axis=1)[:, order]
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u2").astype(np.int32)
+
+
+def _dealt(nodes: DataFrame, turns: int, seed: int) -> DataFrame:
+    """``shard`` and the columns of ``nodes`` (``fp`` is the second), one row for each shard of a node: the values of 16 bits at a time, of all 256 in ``turns`` random orders."""
+    orders, names = _orders(turns, seed), nodes.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 2048):
             fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS64)
-            bits = np.unpackbits(fp, axis=1)
             for t, order in enumerate(orders):
-                value = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u2").astype(np.int32)
+                value = _shard_values(fp, order)
                 shard = (value + ((t * value.shape[1] + np.arange(value.shape[1], dtype=np.int32)) << 16)).ravel()
-                rows = np.repeat(np.arange(len(fp)), value.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["shard", "node", "fp"])
+                rows = pa.array(np.repeat(np.arange(len(fp)), value.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *[c.take(rows) for c in batch.columns]], names=["shard", *names])
+
+    return through(nodes, ", ".join(["shard int", *[f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields]]), deal)
+
+
+def nearest_links(nodes: DataFrame, radius: int, turns: int, most: int = 4096, seed: int = 11) -> DataFrame:
+    """``a, b``: each node and the nearest to it within ``radius`` of 256 bits, of the stretch of every shard that it is in.
+
+    These links join dense groups cheaply, so that `crossing_links`, which leaves out no pair, need not look inside
+    them. Shards are dealt by ranges of shard and fingerprint, so that a very frequent one is spread over tasks, and
+    searched in stretches of ``most`` fingerprints.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -301,7 +317,7 @@ def nearest_links(nodes: DataFrame, radius: int, turns: int, most: int = 4096, s
             yield _nearest(*(np.concatenate(x) for x in zip(*held, strict=True)), radius, most)
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = through(nodes.select("node", "fp"), "shard int, node long, fp binary", deal)
+    dealt = _dealt(nodes.select("node", "fp"), turns, seed)
     near = through(dealt.repartitionByRange(n, "shard", "fp").sortWithinPartitions("shard", "fp"), "a long, b long", search)
     return near.distinct()
 
@@ -366,10 +382,87 @@ def wide_tree_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return got, other[got], best[got]
 
 
+def crossing_links(nodes: DataFrame, radius: int, turns: int, similarity: float, seed: int = 11) -> DataFrame:
+    """``a, b``: all pairs of nodes of different groups that are within ``radius`` bits and share a shard, each pair once.
+
+    ``nodes``: ``node, fp, size, group``. Left out are pairs of one group, which are joined already, and those whose sizes
+    alone exclude the similarity. Every other pair of a shard is compared, whatever the shard's size.
+    """
+    orders = _orders(turns, seed)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size, full = 0, 1 << 15
+        for batch in batches:
+            if batch.num_rows:
+                fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS64)
+                held.append((*(np.asarray(batch.column(i)) for i in (0, 1)), fp, *(np.asarray(batch.column(i)) for i in range(3, batch.num_columns))))
+                size += batch.num_rows
+            if size >= full:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                # The last shard goes on in the next batch; one that fills all is held until its end.
+                cut = int(np.flatnonzero(_starts_of(rows))[-1])
+                if cut:
+                    yield from _crossing([x[:cut] for x in rows], radius, similarity, orders)
+                held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
+                full = max(1 << 15, 2 * size)
+        if size:
+            yield from _crossing([np.concatenate(x) for x in zip(*held, strict=True)], radius, similarity, orders)
+
+    dealt = _dealt(nodes.select("node", "fp", "size", "group"), turns, seed)
+    return through(dealt.repartition("shard").sortWithinPartitions("shard", "group"), "a long, b long", search)
+
+
+def _starts_of(rows: list[np.ndarray]) -> np.ndarray:
+    """Where the shard differs from the row before."""
+    shard = rows[0]
+    return np.concatenate([[True], shard[1:] != shard[:-1]])
+
+
+def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole shards, sorted by shard and group."""
+    shard, node, fp, size, group = rows
+    n = len(shard)
+    cuts = np.flatnonzero(_starts_of(rows))
+    sizes = np.diff(np.append(cuts, n))
+    length = np.repeat(sizes, sizes)
+
+    def near(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Those of the pairs that are links and don't share an earlier shard."""
+        ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= radius
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), 1 << 13):
+            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            differ = np.ascontiguousarray(fp[x] ^ fp[y]).view(np.uint8)
+            first = np.concatenate([_shard_values(differ, o) == 0 for o in orders], axis=1).argmax(1) == shard[x] >> 16
+            x, y = node[x[first]], node[y[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    small = 24
+    for step in range(1, min(small, n)):
+        i = np.flatnonzero((shard[step:] == shard[:-step]) & (length[: n - step] <= small))
+        if not len(i):
+            break
+        yield from near(i, i + step)
+    for at, count in zip(cuts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        # Rows of one group are neighbours: what a row is compared with begins where its group ends.
+        end = np.searchsorted(group[at : at + count], group[at : at + count], "right") + at
+        for i in range(at, at + count):
+            if end[i - at] < at + count:
+                j = np.arange(end[i - at], at + count)
+                j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= radius]
+                if len(j):
+                    yield from near(np.full(len(j), i), j)
+
+
 def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links between texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
-    ``texts``: ``node, b``, one row a node that has links.
+    ``texts``: ``node, b``, one row a node that has links. Nodes are dealt into blocks by hash, and a link goes to the cell of
+    its two blocks. A set goes once to each cell that has links of it, so a node of many links costs at most
+    one copy a block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,49 +471,87 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            ok = []
-            for x, y in zip(*batch.columns[2:], strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    ok.append(False)
+        """A cell's sets come before its links."""
+        cell, sets, ids, has = None, {}, {}, np.zeros(0, bool)
+        for batch in rows_of(batches, 1 << 16):
+            p, q, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            held = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            turn = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (held[1:] != held[:-1])]))
+            for s, e in zip(turn.tolist(), [*turn[1:].tolist(), len(p)], strict=True):
+                if (p[s], q[s]) != cell:
+                    cell, sets, ids = (p[s], q[s]), {}, {}
+                if held[s]:
+                    sets |= {k: np.frombuffer(v.as_py(), "<u4") for k, v in zip(a[s:e].tolist(), batch.column(2)[s:e], strict=True)}
                     continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                if not ids:  # shingles of the cell numbered from 0
+                    words, at = np.unique(np.concatenate([*sets.values()]), return_inverse=True)
+                    ends = np.cumsum([len(v) for v in sets.values()])
+                    ids, has = dict(zip(sets, np.split(at, ends[:-1]), strict=True)), np.zeros(len(words), bool)
+                x, y = a[s:e], b[s:e]
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                heads = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                ok = np.zeros(len(x), bool)
+                for h, t in zip(heads.tolist(), [*heads[1:].tolist(), len(x)], strict=True):
+                    own = ids[x[h]]
+                    has[own] = True
+                    for k in range(h, t, 1024):
+                        other = [ids[v] for v in y[k : min(k + 1024, t)].tolist()]
+                        sizes = np.array([len(o) for o in other])
+                        sums = np.concatenate([[0], np.cumsum(has[np.concatenate(other)])])
+                        ends = np.cumsum(sizes)
+                        both = sums[ends] - sums[ends - sizes]
+                        ok[k : k + len(other)] = both >= similarity * (len(own) + sizes - both)
+                    has[own] = False
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok])], names=["a", "b"])
 
     # Repeated rows of a text give the same set.
     sets = through(texts, "node long, set binary", run).groupBy("node").agg(F.first("set").alias("set"))
     sets = materialise(sets, "simhash-sets")
-    left = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    pairs = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return through(pairs, "a long, b long", compare)
+    blocks = F.lit(max(8, sets.count() // 1024))
+    block = lambda c: F.pmod(F.xxhash64(F.lit("block"), F.col(c)), blocks)
+    cells = links.select(block("a").alias("p"), block("b").alias("q"), F.lit(None).cast("binary").alias("set"), "a", "b")
+    need = cells.select("p", "q", F.col("a").alias("e")).union(cells.select("p", "q", F.col("b").alias("e"))).distinct()
+    sent = need.join(sets, F.col("e") == F.col("node")).select("p", "q", "set", F.col("e").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = sent.union(cells).repartition("p", "q").sortWithinPartitions("p", "q", F.col("set").isNull())
+    return through(rows, "a long, b long", compare)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 58, turns: int = 5) -> DataFrame:
     """``node, group, first``: groups of texts that chains of near copies join, and the group's smallest document id.
 
     One row for each different text (`node_of`). Near copies: a Jaccard similarity of ``similarity`` or more between
-    the sets of shingles of lower-cased words. Candidates are the nearest of 256-bit SimHash fingerprints in each
-    shard (`nearest_links`); every one is verified on whole texts. ``radius`` lies three deviations over what
+    the sets of shingles of lower-cased words. Candidates are found by 256-bit SimHash fingerprints, and every one is
+    verified on whole texts: first the nearest in each shard (`nearest_links`), and then all pairs within ``radius`` in a
+    shard that are not in one group by then (`crossing_links`). ``radius`` lies three deviations over what
     the similarity makes expect, and ``turns`` of 16 shards each let 997 of 1000 pairs at exactly 0.8 meet, and
     more above it. All texts without words are one group. Null ids take part; ``first`` is null
     where a group has no other.
     """
     spark = docs.sparkSession
     base = materialise(wide_fingerprints(docs, id_col, text_col, shingle), "simhash-wide")
-    nodes = materialise(base.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = materialise(base.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.min("size").alias("size")), "simhash-nodes")
+
+    def check(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("a").alias("e")).union(links.select(F.col("b").alias("e"))).distinct()
+        one = nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select(F.col("node").alias("o_node"), "first")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
+        texts = texts.join(one, (F.col("node") == F.col("o_node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "b")
+        sure = materialise(verified(links, texts, shingle, similarity), "simhash-verified")
+        free(spark)
+        return sure
+
+    def grouped(sure: DataFrame) -> DataFrame:
+        linked = components(sure, "simhash-similar").withColumnRenamed("node", "l_node")
+        return nodes.join(linked, F.col("node") == F.col("l_node"), "left").withColumn("group", F.coalesce("root", "node"))
+
     near = materialise(nearest_links(nodes, radius, turns), "simhash-near")
     free(spark)
-    ends = near.select(F.col("a").alias("e")).union(near.select(F.col("b").alias("e"))).distinct()
-    one = nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select(F.col("node").alias("o_node"), "first")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
-    texts = texts.join(one, (F.col("node") == F.col("o_node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "b")
-    sure = materialise(verified(near, texts, shingle, similarity), "simhash-verified")
+    sure = check(near)
+    by_near = materialise(grouped(sure).select("node", "fp", "size", "group"), "simhash-by-near")
+    rest = materialise(crossing_links(by_near, radius, turns, similarity), "simhash-crossing")
     free(spark)
-    linked = components(sure, "simhash-similar").withColumnRenamed("node", "l_node")
-    found = nodes.join(linked, F.col("node") == F.col("l_node"), "left").select("node", "first", F.coalesce("root", "node").alias("group"))
-    found = materialise(found, "simhash-groups")
+    found = materialise(grouped(sure.union(check(rest))).select("node", "first", "group"), "simhash-groups")
     least = found.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("least"))
     return found.join(least, F.col("group") == F.col("g")).select("node", "group", F.col("least").alias("first"))
 

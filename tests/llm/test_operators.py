@@ -124,6 +124,32 @@ def test_similar_groups(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(x for x in firsts.values() if x is not None)
 
 
+def template_documents(n: int = 1500, pairs: int = 60) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Documents that share a template (pairwise 0.70 to 0.79), and among them pairs at 0.8 to 0.86."""
+    rng = random.Random(21)
+    template = [f"t{k}" for k in range(340)]
+    own = lambda m: [f"u{rng.getrandbits(40):x}" for _ in range(m)]
+    texts = [[*template, *own(rng.randint(46, 56))] for _ in range(n)]
+    planted = []
+    for k in range(pairs):
+        tail, swap = own(50), rng.randint(31, 39)
+        planted.append((len(texts), len(texts) + 1))
+        texts += [[*template, *tail], [*template, *tail[: 50 - swap], *own(swap)]]
+    return [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], planted
+
+
+def test_similar_groups_among_templates(spark):
+    """A pair is found although hundreds of other documents are nearer by their bits, or are near and fail."""
+    made, planted = template_documents()
+    got = {r.first: r.group for r in simhash.similar_groups(spark.createDataFrame(made, DOCS)).collect()}
+    sets = [set(brute.shingles(r[1], 5)) for r in made]
+    assert all(0.8 <= brute.jaccard(sets[a], sets[b]) <= 0.86 for a, b in planted)
+    assert all(0.7 <= brute.jaccard(sets[0], s) < 0.8 for s in sets[1:1500])
+    missed = [p for p in planted if p[1] in got]  # a pair's second is in the group of its first
+    assert not missed
+    assert len(got) == len(made) - len(planted)
+
+
 # 2
 
 
