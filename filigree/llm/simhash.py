@@ -382,11 +382,26 @@ def wide_tree_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return got, other[got], best[got]
 
 
-def crossing_links(nodes: DataFrame, radius: int, turns: int, similarity: float, seed: int = 11) -> DataFrame:
+def cells(dealt: DataFrame, most: int) -> DataFrame:
+    """``dealt`` with the cell ``i, j`` of each row and its block ``own``: a shard over ``most`` rows is dealt into blocks by hash, and each pair of blocks is a cell.
+
+    So any two rows of a shard meet in a cell, and a cell has about ``2 * most`` rows. A row of a hot shard goes to as many cells as the
+    shard has blocks. Hot shards of a single group have no pairs to find and go.
+    """
+    hot = dealt.groupBy(F.col("shard").alias("c_shard")).agg(F.count("*").alias("members"), (F.min("group") < F.max("group")).alias("mixed"))
+    hot = materialise(hot.filter(F.col("members") > most), "simhash-hot")
+    blocks = F.coalesce(F.ceil(F.col("members") / most), F.lit(1))
+    rows = dealt.join(hot, F.col("shard") == F.col("c_shard"), "left").filter(F.coalesce("mixed", F.lit(True)))
+    rows = rows.select(*dealt.columns, blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("cell"), "node"), blocks).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return rows.select(*dealt.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
+def crossing_links(nodes: DataFrame, radius: int, turns: int, similarity: float, most: int = 4096, seed: int = 11) -> DataFrame:
     """``a, b``: all pairs of nodes of different groups that are within ``radius`` bits and share a shard, each pair once.
 
     ``nodes``: ``node, fp, size, group``. Left out are pairs of one group, which are joined already, and those whose sizes
-    alone exclude the similarity. Every other pair of a shard is compared, whatever the shard's size.
+    alone exclude the similarity. Every other pair of a shard is compared: shards over ``most`` nodes block against block (`cells`).
     """
     orders = _orders(turns, seed)
 
@@ -400,7 +415,7 @@ def crossing_links(nodes: DataFrame, radius: int, turns: int, similarity: float,
                 size += batch.num_rows
             if size >= full:
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-                # The last shard goes on in the next batch; one that fills all is held until its end.
+                # The last cell goes on in the next batch; one that fills all is held until its end.
                 cut = int(np.flatnonzero(_starts_of(rows))[-1])
                 if cut:
                     yield from _crossing([x[:cut] for x in rows], radius, similarity, orders)
@@ -409,27 +424,28 @@ def crossing_links(nodes: DataFrame, radius: int, turns: int, similarity: float,
         if size:
             yield from _crossing([np.concatenate(x) for x in zip(*held, strict=True)], radius, similarity, orders)
 
-    dealt = _dealt(nodes.select("node", "fp", "size", "group"), turns, seed)
-    return through(dealt.repartition("shard").sortWithinPartitions("shard", "group"), "a long, b long", search)
+    dealt = cells(_dealt(nodes.select("node", "fp", "size", "group"), turns, seed), most)
+    return through(dealt.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "group"), "a long, b long", search)
 
 
 def _starts_of(rows: list[np.ndarray]) -> np.ndarray:
-    """Where the shard differs from the row before."""
-    shard = rows[0]
-    return np.concatenate([[True], shard[1:] != shard[:-1]])
+    """Where the cell differs from the row before."""
+    differ = [rows[k][1:] != rows[k][:-1] for k in (0, 5, 6)]
+    return np.concatenate([[True], np.logical_or.reduce(differ)])
 
 
 def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The pairs of whole shards, sorted by shard and group."""
-    shard, node, fp, size, group = rows
+    """The pairs of whole cells, sorted by cell and group."""
+    shard, node, fp, size, group, low, high, own = rows
     n = len(shard)
-    cuts = np.flatnonzero(_starts_of(rows))
+    starts = _starts_of(rows)
+    cell, cuts = np.cumsum(starts), np.flatnonzero(starts)
     sizes = np.diff(np.append(cuts, n))
     length = np.repeat(sizes, sizes)
 
     def near(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Those of the pairs that are links and don't share an earlier shard."""
-        ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+        ok = (group[i] != group[j]) & ((own[i] != own[j]) | (low[i] == high[i])) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
         ok = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= radius
         i, j = i[ok], j[ok]
@@ -442,7 +458,7 @@ def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: li
 
     small = 24
     for step in range(1, min(small, n)):
-        i = np.flatnonzero((shard[step:] == shard[:-step]) & (length[: n - step] <= small))
+        i = np.flatnonzero((cell[step:] == cell[:-step]) & (length[: n - step] <= small))
         if not len(i):
             break
         yield from near(i, i + step)

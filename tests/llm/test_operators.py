@@ -150,6 +150,31 @@ def test_similar_groups_among_templates(spark):
     assert len(got) == len(made) - len(planted)
 
 
+def hot_shard(n: int = 5000, planted: int = 200) -> list[bytes]:
+    """Fingerprints that share the 16 bits of one shard, and near copies of the first of them, anywhere in their order."""
+    rng = np.random.default_rng(13)
+    order = simhash._orders(1, 11)[0]
+    bits = rng.integers(0, 2, (n, 256), np.uint8)
+    bits[:, order[:16]] = 1
+    near = bits[:planted].copy()
+    for row in near:
+        row[rng.choice(order[16:], 45, replace=False)] ^= 1
+    return [f.tobytes() for f in np.packbits(np.concatenate([bits, near]), axis=1)]
+
+
+def test_hot_shards_are_compared_whole(spark):
+    """In a shard over the bound all pairs are found once, and no cell is much larger than two blocks."""
+    n, fps = 5000, hot_shard()
+    d = spark.createDataFrame([(i, f, 100, i) for i, f in enumerate(fps)], "node long, fp binary, size int, group long").localCheckpoint()
+    for most in (4096, 700):
+        got = sorted((r.a, r.b) for r in simhash.crossing_links(d, 58, 1, 0.8, most).collect())
+        assert got == [(n + i, i) for i in range(200)]
+        largest = simhash.cells(simhash._dealt(d, 1, 11), most).groupBy("shard", "i", "j").count().agg(F.max("count")).head()[0]
+        assert most < largest < 2.4 * most
+    alike = d.withColumn("group", F.lit(1).cast("long"))
+    assert simhash.crossing_links(alike, 58, 1, 0.8).count() == 0
+
+
 # 2
 
 
