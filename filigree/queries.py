@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.config import OutlierConfig
 from filigree.functions import scoring
 from filigree.operators import contain, encode, generate, graph, metrics, outliers, patterns, sampling, search, train
 from filigree.plans import detect
@@ -680,11 +681,18 @@ def start_anti_join(spark, sf):
     return base(spark, sf)[0].join(p, "node", "left_anti")
 
 
+def search_starts(embs: DataFrame, num_nodes: int) -> DataFrame:
+    """``node``: all anchors that the detector finds, with the limit of `freq_outliers` or that of a detection (`plans.detect`), whichever finds more."""
+    found = outliers.model_based(embs, max(0.05, OutlierConfig().max_freq / max(1, num_nodes)))
+    return materialise(found.select(F.col("anchor").alias("node")), "starts")
+
+
 def _search(spark, sf, **options) -> DataFrame:
     nodes, edges, e = embedded(spark, sf)
-    starts = outliers.starting_nodes(e, 20).select(F.col("anchor").alias("node"))
+    n = nodes.count()
+    starts = search_starts(e, n)
     config = search.SearchConfig(**{"max_strength": 0.25, "max_steps": 5, "max_cands": 8} | options)
-    out = search.run(starts, edges, e.select("nb", "emb"), config, nodes.count())
+    out = search.run(starts, edges, e.select("nb", "emb"), config, n)
     return out.select("start", "beam", "size", F.round("freq", 9).alias("freq"), F.round("score", 9).alias("score"))
 
 

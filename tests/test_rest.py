@@ -138,3 +138,13 @@ def test_detection_finds_planted_nodes(spark, tmp_path):
     Broken().fire("on_step_end", step=1)
     with pytest.raises(ValueError):
         Broken().fire("on_nothing")
+
+
+def test_search_starts_are_all_that_the_detector_finds(spark):
+    """More rare anchors than any fixed number, and the frequent ones are not among them."""
+    from filigree.queries import search_starts
+
+    # Sixty neighbourhoods that rise in one size and fall in the other, so that each is contained in itself alone; 200 small ones that all contain.
+    rare = [(i, i, [10.0 + i, 100.0 - i]) for i in range(60)]
+    e = spark.createDataFrame(rare + [(i, i, [1.0, 1.0]) for i in range(100, 300)], "nb long, anchor long, emb array<float>")
+    assert sorted(r.node for r in search_starts(e, 260).collect()) == list(range(60))
