@@ -148,3 +148,14 @@ def test_search_starts_are_all_that_the_detector_finds(spark):
     rare = [(i, i, [10.0 + i, 100.0 - i]) for i in range(60)]
     e = spark.createDataFrame(rare + [(i, i, [1.0, 1.0]) for i in range(100, 300)], "nb long, anchor long, emb array<float>")
     assert sorted(r.node for r in search_starts(e, 260).collect()) == list(range(60))
+
+
+def test_whole_graph_has_pairs_of_one_order(spark, tmp_path):
+    from filigree.queries import QUERIES
+
+    lines = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3)], "l_orderkey long, l_partkey long")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = lambda name: sorted((r.src, r.dst) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert pairs("edges_undirected_whole") == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    assert pairs("edges_undirected") == [(1, 2), (2, 1)]
+    assert sorted((r.node, r.degree) for r in QUERIES["degree_whole"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 1)]
