@@ -41,10 +41,11 @@ def _byte_of() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def load_encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text by the tokenizer file, special strings in a text being ordinary text.
+    """Ids of a text by the tokenizer file, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     A byte-level BPE whose ids are its merge ranks runs in tiktoken, which gives the same ids as
-    ``tokenizers`` about five times as fast; any other file runs in ``tokenizers``. A Python worker
+    ``tokenizers`` about five times as fast; texts that hold one of the file's added tokens, which are
+    one id each there, and any other file run in ``tokenizers``. A Python worker
     loads a file once, for all its tasks.
     """
     with open(path, encoding="utf-8") as f:
@@ -59,11 +60,16 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
         import tiktoken
 
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
-        return tiktoken.Encoding("own", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        plain = tiktoken.Encoding("own", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda text: _in_tokenizers(path)(text) if any(x in text for x in special) else plain(text)
+    return _in_tokenizers(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _in_tokenizers(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 

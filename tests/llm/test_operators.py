@@ -465,6 +465,15 @@ def test_encoder_gives_the_ids_of_tokenizers(text):
     assert packing.load_encoder(path)(text) == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "some <|endoftext|> words", " <|endoftext|><|endoftext|>\n", "<|endoftext |>"])
+def test_added_tokens_are_those_of_the_plain_call(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.load_encoder(path)(text) == want and (50256 in want) == ("<|endoftext|>" in text)
+
+
 def test_other_tokenizer_files(spark):
     import public_tokenizers
 
