@@ -117,6 +117,15 @@ def _spans(kind: Kind, reach: int) -> str:
     return f"IF({kind.likely}, {made}, cast(array() AS array<{SPAN}>))"
 
 
+def _located(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+    """``doc_id, t, spans``: the text, and its spans by start, then kind as listed."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = d.select("doc_id", "t", *[F.expr(_spans(k, reach)).alias(k.name) for k in KINDS])
+    listed = F.array(*[F.lit(k.name) for k in KINDS])
+    placed = F.transform(F.concat(*[F.col(k.name) for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
+    return d.select("doc_id", "t", F.array_sort(placed).alias("spans"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40) -> DataFrame:
     """``doc_id`` and ``spans``: kind, start, end (code points, end exclusive) and score, by start, then kind as listed.
 
@@ -125,11 +134,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     Scores are at most 1: a prior of the kind, and 0.2 more if a context word stands within ``reach``
     code points beside the match. Only kinds beyond the base ones have a least score.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = d.select("doc_id", *[F.expr(_spans(k, reach)).alias(k.name) for k in KINDS])
-    listed = F.array(*[F.lit(k.name) for k in KINDS])
-    placed = F.transform(F.concat(*[F.col(k.name) for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), F.array_position(listed, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
-    return d.select("doc_id", F.array_sort(placed).alias("spans"))
+    return _located(docs, id_col, text_col, reach).select("doc_id", "spans")
 
 
 def as_text(spans: Column) -> Column:
@@ -137,9 +142,13 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` with each kind's matches replaced by its name; for texts whose offsets nobody needs any more."""
-    out = F.coalesce(F.col(text_col), F.lit(""))
-    for k in KINDS[:4]:
-        out = F.regexp_replace(out, F.lit(k.pattern), F.lit(f"<{k.name}>"))
-    return docs.select(F.col(id_col).alias("doc_id"), out.alias("text"))
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40) -> DataFrame:
+    """``doc_id, text`` with the spans of `find_pii` replaced by their kinds; for texts whose offsets nobody needs any more.
+
+    Spans that overlap go as one, by the name of the first.
+    """
+    out = F.expr("""aggregate(spans, struct(0L AS at, '' AS text), (a, s) -> struct(
+        greatest(a.at, s.end) AS at,
+        IF(s.start < a.at, a.text, concat(a.text, substring(t, int(a.at) + 1, int(s.start - a.at)), '<', s.kind, '>')) AS text),
+        a -> concat(a.text, substring(t, int(a.at) + 1)))""")
+    return _located(docs, id_col, text_col, reach).select("doc_id", out.alias("text"))

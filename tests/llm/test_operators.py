@@ -512,6 +512,14 @@ def test_context_raises_the_score(spark):
     assert [r.text for r in pii.redact(d).orderBy("doc_id").collect()] == ["call me: <phone>", "it is <phone>"]
 
 
+def test_redaction_follows_the_spans(spark):
+    """Kinds beyond the base ones go, what the checks turn down stays, and texts around the spans are kept."""
+    texts = ["iban DE89 3704 0044 0532 0130 00, ssn 123-45-6789 😀", "no card 4111 1111 1111 1112, no ip 999.1.1.1", "card 4111 1111 1111 1111 and a.b@c.de!", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.redact(d).orderBy("doc_id").collect()]
+    assert got == ["iban <iban>, ssn <ssn> 😀", texts[1], "card <card> and <email>!", "", ""]
+
+
 def test_pii_query(spark, monkeypatch, docs, rows):
     use(monkeypatch, documents=docs)
     q = queries.op8_pii(spark, "")
