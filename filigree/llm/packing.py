@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,9 @@ END_OF_TEXT = 1
 #: Pattern by which byte-level BPE of this family cuts a text into words. Fixed value.
 BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as long as this is left to ``tokenizers``: the other's matcher keeps a frame for each place it may go back to.
+LONG_SPACE = 100_000
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -45,8 +49,8 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
 
     A byte-level BPE whose ids are its merge ranks runs in tiktoken, which gives the same ids as
     ``tokenizers`` about five times as fast; texts that hold one of the file's added tokens, which are
-    one id each there, and any other file run in ``tokenizers``. A Python worker
-    loads a file once, for all its tasks.
+    one id each there, or a run of white space of ``LONG_SPACE`` characters, and any other file run in
+    ``tokenizers``. A Python worker loads a file once, for all its tasks.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -61,7 +65,9 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
 
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
         plain = tiktoken.Encoding("own", pat_str=BYTE_BPE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda text: _in_tokenizers(path)(text) if any(x in text for x in special) else plain(text)
+        space = re.compile(rf"\s{{{LONG_SPACE}}}")
+        plainly = lambda text: not any(x in text for x in special) and (len(text) < LONG_SPACE or not space.search(text))
+        return lambda text: plain(text) if plainly(text) else _in_tokenizers(path)(text)
     return _in_tokenizers(path)
 
 
@@ -134,7 +140,11 @@ def pack(docs: DataFrame, window: int = 2048, keep_ids: bool = True, **options)
 
 
 def sequences(pieces: DataFrame, window: int = 2048, pad: int = 0) -> DataFrame:
-    """``sequence_id, ids`` (array, padded) of the pieces that ``pack`` made with their ids; a group is one window."""
+    """``sequence_id, ids`` (array, padded) of the pieces that ``pack`` made with their ids; a group is one window.
+
+    Pieces come in any order and are put in that of their offsets; pieces without ids, or none at all, give no ids and no rows.
+    Every document has one id at least, so there are no empty texts, ties or null offsets here; other columns are left out.
+    """
     joined = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda p: F.hex(p["ids"]))
     packed = pieces.groupBy("sequence_id").agg(F.array_join(joined, "").alias("hex"), F.max("padded").alias("padded"))
     number = lambda i: F.conv(F.concat(*[F.substring("hex", i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("int")

@@ -474,6 +474,23 @@ def test_added_tokens_are_those_of_the_plain_call(text):
     assert packing.load_encoder(path)(text) == want and (50256 in want) == ("<|endoftext|>" in text)
 
 
+LONG = {"spaces": " " * 3_000_000, "feeds": "\n" * 1_000_000, "before a letter": " " * 3_000_000 + "x", "inside": "word" + "\u2003" * 400_000 + "word", "letter": "a" * 1_000_000, "mixed": "\t \n" * 200_000 + "end"}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_long_runs_have_the_ids_of_tokenizers(name):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    assert packing.load_encoder(path)(LONG[name]) == Tokenizer.from_file(path).encode(LONG[name], add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space(spark):
+    d = spark.createDataFrame([(1, " " * 1_000_000), (2, "some words")], "doc_id long, text string")
+    got = packing.pack(d).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(r.n == r["all"] for r in got)
+
+
 def test_other_tokenizer_files(spark):
     import public_tokenizers
 
