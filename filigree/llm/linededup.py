@@ -2,10 +2,13 @@
 
 A document is the sequence of hashes of its lines that hold words. A window is the shortest run from a line
 on that has ``least`` words or more, or the shortest such run up to a line, so every run of that many words is a
-union of windows. Of each window the least hash is selected (the leftmost of equal ones): two documents
-that share a run share its windows, and with them what is selected, so no shared run is missed. Selected
-hashes that occur once are dropped; windows around the others are joined by their content with the
-first place where it stands, and overlapping windows extend the match both ways to the whole run.
+union of windows. Of each window the least hash is selected (the leftmost of equal ones), and only selected
+places are kept: two documents that share a run share its windows, and with them what is selected, so
+no shared run is missed. Places are joined by their hashes; those whose hash stands nowhere else go.
+From each place left the match is extended both ways: the windows that selected it reach from it to
+the left and to the right, and a window with the same lines as an earlier one is part of a later run. Windows
+are told apart by digests of their lines, so no text travels to another, and a place in a run that thousands
+share costs as much as one in a run of two.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql.types import StructType
 from filigree.llm.common import materialise, rows_of, through, utf8
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-WINDOW = "array<struct<fp:long,content:binary,first:int,last:int>>"
+SEED = "array<struct<fp:long,at:int,reach:array<struct<content:binary,first:int,last:int>>>>"
 
 
 def _hash(data: bytes) -> int:
@@ -32,8 +35,8 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
-def windows(text: bytes, least: int) -> list[tuple[int, bytes, int, int]]:
-    """Selected hash, content digest, first and last line of each window of a text; lines are counted from 0."""
+def seeds(text: bytes, least: int) -> list[tuple[int, int, list[tuple[bytes, int, int]]]]:
+    """Hash and line of each selected place of a text, and the windows that selected it: digest, first and last line. Lines are counted from 0."""
     lines = [(i, s, len(s.split())) for i, line in enumerate(text.split(b"\n")) if (s := line.strip())]
     if not lines:
         return []
@@ -45,29 +48,41 @@ def windows(text: bytes, least: int) -> list[tuple[int, bytes, int, int]]:
     starts = np.searchsorted(upto, upto[1:] - least, side="right") - 1
     spans = {(s, int(e) - 1) for s, e in enumerate(ends) if e < len(upto)} | {(int(s), e) for e, s in enumerate(starts) if s >= 0}
     packed = np.array(hashes, np.int64).tobytes()
-    return [(min(hashes[s : e + 1]), hashlib.blake2b(packed[8 * s : 8 * e + 8], digest_size=16).digest(), lines[s][0], lines[e][0]) for s, e in sorted(spans)]
+    found: dict[int, list] = {}
+    for s, e in sorted(spans):
+        at = s if s == e else min(range(s, e + 1), key=hashes.__getitem__)
+        found.setdefault(at, []).append((hashlib.blake2b(packed[8 * s : 8 * e + 8], digest_size=16).digest(), lines[s][0], lines[e][0]))
+    return [(hashes[at], lines[at][0], reach) for at, reach in found.items()]
 
 
-def repeated_windows(docs: DataFrame, least: int, place: Column, id_col: str, text_col: str) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int, place: Column, id_col: str, text_col: str) -> DataFrame:
     """``id, mark, runs``: for each document with lines to delete, the spans of lines (first, last) that stand earlier."""
     d = docs.select(place.alias("id"), F.xxhash64(text_col).alias("mark"), utf8(text_col).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("fp", pa.int64()), ("content", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
-        names = ("fp", "content", "first", "last")
+        window = pa.struct([("content", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
+        kind = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("reach", pa.list_(window))]))
         for batch in rows_of(batches):
-            found = [[dict(zip(names, w, strict=True)) for w in windows(b.as_py(), least)] for b in batch.column(2)]
+            found = [
+                [{"fp": fp, "at": at, "reach": [{"content": c, "first": s, "last": e} for c, s, e in reach]} for fp, at, reach in seeds(b.as_py(), least)]
+                for b in batch.column(2)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["id", "mark", "w"])
 
-    every = through(d, f"id long, mark long, w {WINDOW}", run).select("id", "mark", F.explode("w").alias("w")).select("id", "mark", "w.*")
-    every = materialise(every, "lines-windows")
-    selected = every.groupBy(F.col("fp").alias("s_fp")).agg(F.min(F.struct("id", "mark", "first")).alias("low"), F.max(F.struct("id", "mark", "first")).alias("high"))
-    shared = selected.filter((F.col("low.id") < F.col("high.id")) | (F.col("low.first") < F.col("high.first")) | (F.col("low.mark") != F.col("high.mark"))).select("s_fp")
-    near = every.join(shared, F.col("fp") == F.col("s_fp"), "left_semi").drop("fp")
+    every = through(d, f"id long, mark long, w {SEED}", run).select("id", "mark", F.explode("w").alias("w")).select("id", "mark", "w.*")
+    every = materialise(every, "lines-seeds")
+    # Summed where the places are before they move, so that a frequent hash is one row a task.
+    stands = F.struct("id", "mark", "at")
+    shared = every.groupBy(F.col("fp").alias("s_fp")).agg(F.min(stands).alias("low"), F.max(stands).alias("high")).filter(F.col("low") < F.col("high")).select("s_fp")
+    # Written, so that both sides of the join are plain tables, which Spark can split at a frequent hash; the same below.
+    shared = materialise(shared, "lines-shared")
+    near = every.join(shared, F.col("fp") == F.col("s_fp"), "left_semi").select("id", "mark", F.explode("reach").alias("w")).select("id", "mark", "w.*")
+    near = materialise(near, "lines-windows")
     here = F.struct("id", "first")
     origin = near.groupBy(F.col("content").alias("o_content")).agg(F.min(here).alias("origin"), F.max(here).alias("latest")).filter(F.col("origin") < F.col("latest")).drop("latest")
+    origin = materialise(origin, "lines-origins")
     later = near.join(origin, F.col("content") == F.col("o_content")).filter(here > F.col("origin"))
-    return later.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    return materialise(later.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "lines-runs")
 
 
 def dedup_lines(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -81,7 +96,7 @@ def dedup_lines(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_c
     earlier place (a line repeated on and on) goes from its second time on.
     """
     place = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    found = repeated_windows(docs, least, place, id_col, text_col).select(F.col("id").alias("r_id"), F.col("mark").alias("r_mark"), "runs")
+    found = repeated_runs(docs, least, place, id_col, text_col).select(F.col("id").alias("r_id"), F.col("mark").alias("r_mark"), "runs")
     d = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
@@ -103,7 +118,7 @@ def dedup_lines(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_c
                     gone.update(range(max(r[0], end + 1), r[1] + 1))
                     end = max(end, r[1])
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text.as_py()
-                out.append((kept, len(lines), len(gone), merged, kept is not None and (not gone or len(gone) < len(lines))))
+                out.append((kept, len(lines), len(gone), merged, kept is not None and (not gone or bool(kept.encode().strip()))))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]

@@ -561,11 +561,38 @@ def test_lines_against_brute_force(docs, rows, least):
     assert brute.multiset((r.doc_id, r.text, r.n_lines) for r in got) == brute.multiset(want)
 
 
-def test_windows_select_what_documents_share():
+def test_seeds_are_what_documents_share():
     shared = [f"line number {i} of the passage with more words" for i in range(8)]
-    a = linededup.windows("\n".join(["one line here"] + shared + ["x"]).encode(), 20)
-    b = linededup.windows("\n".join(shared + ["other text", "and more"]).encode(), 20)
-    assert {w[1] for w in a} & {w[1] for w in b} and {w[0] for w in a} & {w[0] for w in b}
+    a = linededup.seeds("\n".join(["one line here"] + shared + ["x"]).encode(), 20)
+    b = linededup.seeds("\n".join(shared + ["other text", "and more"]).encode(), 20)
+    assert {fp for fp, _, _ in a} & {fp for fp, _, _ in b}
+    reach = [{c for _, _, r in x for c, _, _ in r} for x in (a, b)]
+    # Every window of the passage alone is in both: 9 words a line, so 3 lines each.
+    assert len(reach[0] & reach[1]) >= 6
+    long = linededup.seeds("\n".join(f"line {i} {i * 7919 % 1000}" for i in range(3000)).encode(), 50)
+    assert len(long) < 3000 / 4  # a window has 17 lines, so about one place in nine is selected
+
+
+def test_documents_of_which_nothing_is_left(spark):
+    """Whether or not a line feed ends the text; texts that never had a word stay."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [passage + "\n", passage + "\n", passage, f"\n{passage}\n \t\n", passage + "\nmore", "", "\n", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.text) for r in linededup.dedup_lines(d).collect()}
+    assert {i for i, (kept, _) in got.items() if kept} == {0, 4, 5, 6}
+    assert got[4][1] == "more" and got[5][1] == "" and got[7] == (False, None)
+
+
+def test_lines_of_a_long_text(spark):
+    """600 kB: runs in the middle of long texts, a line repeated on and on, and one very long line."""
+    rng = random.Random(3)
+    lines = [prose(rng, 12) for _ in range(8000)]
+    other = [*(prose(rng, 12) for _ in range(3000)), *lines[4000:4030], *(prose(rng, 12) for _ in range(3000))]
+    one = prose(rng, 20_000, 20_000)
+    rows = [(1, "\n".join(lines)), (2, "\n".join(other)), (3, "again and again\n" * 20_000), (4, one), (5, f"x\n{one}\ny")]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(1, 6)] == [0, 30, 19_999, 0, 1]
+    assert got[2].text == "\n".join(other[:3000] + other[3030:]) and got[5].text == "x\ny"
 
 
 # 10
