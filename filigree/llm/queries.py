@@ -90,7 +90,7 @@ def _pii_sql() -> str:
     turned = "substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4)"
     mod97 = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN 100 + ascii(c) - 55 ELSE c::BIGINT END)), lambda a, c: CASE WHEN c >= 100 THEN (a * 100 + c - 100) % 97 ELSE (a * 10 + c) % 97 END) = 1"
     added = {
-        "iban": ("[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?", f"{alone.format('A-Za-z0-9')} AND {mod97}"),
+        "iban": (pii._iban(edges=False), f"{alone.format('A-Za-z0-9')} AND {mod97}"),
         "ssn": ("[0-9]{3}-[0-9]{2}-[0-9]{4}", f"{alone.format('0-9-')} AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND regexp_matches({near}, 'ssn|social|security|tax')"),
     }
     kinds = base | added

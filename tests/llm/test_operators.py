@@ -522,6 +522,38 @@ def test_added_kinds(spark):
     assert got[1] == [("iban", 11, 38)] and got[2] == [] and got[3] == [("ssn", 16, 27)] and got[4] == [] and got[5] == []
 
 
+def test_ibans_end_where_their_country_says(spark):
+    t = ["IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "ES9121000418450200051332 NOW", "BE68 5390 0754 7034 CALL", "NO93 8601 1117 947 and MT84 MALT 0110 0001 2345 MTLC AST0 01S", "XX82 WEST 1234 5698 7654 32", "xGB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32x"]
+    got = spans_of(pii.find_pii(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")))
+    assert got == {0: [("iban", 5, 34)], 1: [("iban", 0, 24)], 2: [("iban", 0, 19)], 3: [("iban", 0, 18), ("iban", 23, 61)], 4: [], 5: [], 6: []}
+
+
+def test_many_spans_in_one_text(spark):
+    """Places of 100,000 addresses, and what is left without them."""
+    n = 100_000
+    text = " ".join(f"ü{i} a{i}@b.example" for i in range(n))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = [(s.start, s.end) for s in pii.find_pii(d).head().spans]
+    assert len(found) == n and all(text[s:e] == f"a{i}@b.example" for i, (s, e) in enumerate(found))
+    assert pii.redact(d).head().text == " ".join(f"ü{i} <email>" for i in range(n))
+
+
+def test_redaction_of_overlapping_spans(spark):
+    """Held against a plain loop, on texts with matches of several kinds over one another."""
+    rng = random.Random(12)
+    bits = ["a@b.c", "4111111111111111", "+1 (988) 555-2485", "1.2.3.4", "+14111111111111111", " ", "x", "é😀", "-", "y" * 700, "BE68539007547034"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(150)] + ["a@b.c " * 700]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = spans_of(pii.find_pii(d))
+    for r in pii.redact(d).collect():
+        at, want = 0, ""
+        for kind, s, e in found[r.doc_id]:
+            if s >= at:
+                want += texts[r.doc_id][at:s] + f"<{kind}>"
+            at = max(at, e)
+        assert r.text == want + texts[r.doc_id][at:]
+
+
 def test_context_raises_the_score(spark):
     d = spark.createDataFrame([(1, "call me: +1 (988) 555-2485"), (2, "it is +1 (988) 555-2485")], "doc_id long, text string")
     s = {r.doc_id: r.spans[0].score for r in pii.find_pii(d).collect()}
