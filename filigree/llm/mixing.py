@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from filigree.llm.common import WORD, materialise, rank_within
 
 
+#: Neighbours whose places are turned together.
+RUN = 16
+
+
 def word_count(text: str) -> Column:
     """Words without a Python pass: the separators that start a word."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -25,7 +29,8 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFr
     ``sizes`` has one row a source. Sources by code point, null last, weigh ``weights`` in turn and share the
     whole size; targets stop at ``cap`` times the source's size and the rest is shared again by weight
     until none is above. Sources are sorted by cap over weight, so that the fill is one window pass:
-    the first ones of that order are full, and all others stand at the same level.
+    the first ones of that order are full, and all others stand at the same level. Sources that tie in that ratio come by
+    code point. One without words has target 0, and so have all if none has words; no rows give none.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     everything = Window.partitionBy()
@@ -58,10 +63,11 @@ def mix(
     Null texts have size 0; documents without words get 0 copies, and so do sources without words.
     Null sources are a source. Null ids and repeated rows are documents like others; rows that tie in
     size, id and hash get neighbouring ranks, so their copies differ by one at most.
-    The order is by size, then by a seeded hash of the id, with the ranks of every 16 neighbours swapped
-    by a mask. Of ``tries`` pairs of a random offset and a mask, a source takes the one whose taken words
-    come nearest to its target. All of it depends on the rows alone, so reruns agree. Ranks are made over all tasks by ranges (`rank_within`):
-    no source meets in one task.
+    The order is by size, then by a seeded hash of the id; each run of ``RUN`` neighbours (the last may be shorter) is
+    turned by a number of places. Of ``tries`` pairs of a random offset and a turn, a source takes the one whose taken words
+    come nearest to its target: offsets are one random number and its ``tries`` even steps around the circle. Whatever the
+    pair, places are 0 to n - 1, so copies are those of the source's own prefix sums. All of it depends on the rows alone, so reruns agree.
+    Ranks are made over all tasks by ranges (`rank_within`): no source meets in one task. No rows give none.
     """
     base = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -72,24 +78,26 @@ def mix(
     )
     base = materialise(base, "mix-sizes")  # texts are read once, the ranges are sampled and dealt from numbers
     ranked = rank_within(base, "source", ["size", "tie", "doc_id"], "rank", "mix-rank")
-    sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    targets = source_targets(sizes, list(weights), cap).withColumn("start", start)
+    targets = source_targets(sizes.select("source", "source_size"), list(weights), cap).withColumn("start", start)
+    targets = targets.join(sizes.select(F.col("source").alias("n_source"), "n"), F.col("source").eqNullSafe(F.col("n_source"))).drop("n_source")
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     targets = materialise(targets.withColumnRenamed("source", "t_source"), "mix-targets")
 
-    def copies(offset: Column, mask: Column) -> Column:
-        at = F.col("rank").bitwiseXOR(mask)
+    def copies(offset: Column, turn: Column) -> Column:
+        first = F.col("rank") - F.col("rank") % RUN
+        at = first + (F.col("rank") - first + turn) % F.least(F.lit(RUN), F.col("n") - first)
         crossed = F.floor((at + 1) * F.col("rate") + offset) - F.floor(at * F.col("rate") + offset)
         return F.when(F.col("size") > 0, crossed).otherwise(F.lit(0)).cast("long")
 
     same = F.col("source").eqNullSafe(F.col("t_source"))
-    tried = [(F.pmod(F.col("start") + F.lit(j / tries), F.lit(1.0)), F.lit(j % 16).cast("long"), f"taken{j}") for j in range(tries)]
-    totals = ranked.select("source", "size", "rank").join(targets, same).groupBy("t_source", "start", "target").agg(*[F.sum(F.col("size") * copies(u, m)).alias(k) for u, m, k in tried])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(k) - F.col("target")).alias("off"), u.alias("offset"), m.alias("mask")) for u, m, k in tried]))
-    chosen = totals.select(F.col("t_source").alias("c_source"), best["offset"].alias("offset"), best["mask"].alias("mask"))
+    tried = [(F.pmod(F.col("start") + F.lit(j / tries), F.lit(1.0)), F.lit(j % RUN).cast("long"), f"taken{j}") for j in range(tries)]
+    totals = ranked.select("source", "size", "rank").join(targets, same).groupBy("t_source", "start", "target", "n").agg(*[F.sum(F.col("size") * copies(u, m)).alias(k) for u, m, k in tried])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(k) - F.col("target")).alias("off"), u.alias("offset"), m.alias("turn")) for u, m, k in tried]))
+    chosen = totals.select(F.col("t_source").alias("c_source"), best["offset"].alias("offset"), best["turn"].alias("turn"))
     plan = targets.join(chosen, F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
-    out = ranked.join(plan, same).withColumn("copies", copies(F.col("offset"), F.col("mask")))
+    out = ranked.join(plan, same).withColumn("copies", copies(F.col("offset"), F.col("turn")))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["mark"] if mark else []))
 

@@ -60,7 +60,7 @@ class _Words(dict):
 
 
 def sentence_scores(text: str, words: _Words) -> np.ndarray:
-    """Probability of each sentence that has a word, in order."""
+    """Probability of each sentence that has a word, in order; 0 by a model without weights."""
     tokens = TOKEN.findall(text.lower())
     if not tokens:
         return np.zeros(0)
@@ -69,11 +69,13 @@ def sentence_scores(text: str, words: _Words) -> np.ndarray:
     at = np.cumsum(end) - end
     has = np.bincount(at[~end], minlength=at[-1] + 1) > 0
     sums = np.bincount(at[~end], w[~end], minlength=at[-1] + 1)
+    if not words.model.weights:
+        return np.zeros(int(has.sum()))
     return 1 / (1 + np.exp(-np.clip(sums[has] + words.model.bias, -30, 30)))
 
 
 def noisy_or(p: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+    return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) + 0.0  # 0.0, not -0.0, without sentences
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:

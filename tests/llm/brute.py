@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -128,6 +130,60 @@ def targets(sizes: dict, weights: list[float], cap: float) -> dict:
         full |= more
 
 
+def spark_hash(*values) -> int:
+    """Spark's 64-bit hash of ints (as 4 bytes, in a tuple of one), longs and strings, one after another, signed."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mix(rows: list[tuple], weights: list[float], cap: float, seed: int, tries: int, run: int) -> Counter:
+    """(id, size, taken) of (id, source, text): each document in turn takes the integers that its stretch of the running sum passes."""
+    sources: dict = {}
+    for i, s, t in rows:
+        sources.setdefault(s, []).append((len(WORD.findall(t or "")), spark_hash((seed,), i), i is not None, i))
+    goal = targets({s: sum(d[0] for d in docs) for s, docs in sources.items()}, weights, cap)
+    out: Counter = Counter()
+    for s, docs in sources.items():
+        # Nulls come first in an ascending order.
+        docs.sort(key=lambda d: (d[0], d[1], d[2], d[3] or 0))
+        total = sum(d[0] for d in docs)
+        rate = goal[s] / total if total else 0.0
+        start = spark_hash((seed,), "offset", s) % (1 << 30) / float(1 << 30)
+        best = None
+        for k in range(tries):
+            offset, turn = math.fmod(start + k / tries, 1.0), k % run
+            taken = []
+            for r in range(0, len(docs), run):
+                block = docs[r : r + run]
+                for j, d in enumerate(block):
+                    at = r + (j + turn) % len(block)
+                    taken.append((math.floor((at + 1) * rate + offset) - math.floor(at * rate + offset)) * d[0])
+            key = (abs(sum(taken) - goal[s]), offset, turn)
+            if best is None or key < best[0]:
+                best = (key, taken)
+        out += Counter((d[3], d[0], t) for d, t in zip(docs, best[1], strict=True))
+    return out
+
+
+def toxicity(text: str | None, weights: dict[int, float], bias: float, buckets: int) -> float:
+    """The noisy-or of the sentences' logistic scores, from the weights of a model."""
+    none = 1.0
+    for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", sentence)
+        if not words or not weights:
+            continue
+        x = bias
+        for w in words:
+            for f in [f"={w}", *(f"^{w[:n]}" for n in (4, 5, 6, 7) if len(w) >= n)]:
+                x += weights.get(zlib.crc32(f.encode()) % buckets, 0.0)
+        none *= 1 - 1 / (1 + math.exp(-max(-30, min(30, x))))
+    return 1 - none
+
+
 def sha256(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 

@@ -288,6 +288,24 @@ def test_mix(spark, monkeypatch, docs, rows):
     assert brute.multiset(got) == brute.multiset(again)
 
 
+def test_taken_words_against_brute_force(spark, docs, rows):
+    got = brute.multiset((r.doc_id, r.size, r.taken) for r in mixing.mix(docs).collect())
+    assert got == brute.mix([(r[0], r[3], r[1]) for r in rows], [1, 2, 3], 3, 20, 64, mixing.RUN)
+
+
+@pytest.mark.parametrize("counts", [(5, 10, 17), (1, 16, 33), (2, 3, 160)])
+def test_taken_words_of_small_sources(spark, counts):
+    """Places are a permutation of 0 to n - 1, so a source gives the copies that its own prefix sums say, give or take one."""
+    rng = random.Random(sum(counts))
+    rows = [(1000 * k + i, prose(rng, rng.randint(1, 300)), "en", f"s{k}", 0) for k, n in enumerate(counts) for i in range(n)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert brute.multiset((r.doc_id, r.size, r.taken) for r in out) == brute.mix([(r[0], r[3], r[1]) for r in rows], [1, 2, 3], 3, 20, 64, mixing.RUN)
+    for k, n in enumerate(counts):
+        mine = [r for r in out if r.source == f"s{k}"]
+        copies = n * mine[0].target / mine[0].source_size
+        assert len(mine) == n and abs(sum(r.copies for r in mine) - copies) < 1 and max(r.copies for r in mine) - min(r.copies for r in mine) <= 1
+
+
 def test_mix_comes_near_the_targets(spark):
     rng = random.Random(6)
     many = [(i, prose(rng, rng.randint(1, 200)), "en", rng.choice(["a", "a", "a", "b", "c"]), 0) for i in range(1500)]
@@ -333,6 +351,20 @@ def test_toxicity_on_held_out_documents(spark, monkeypatch, rows):
     assert {r.doc_id: r.score for r in got}[5001] == 0
 
 
+def test_scores_against_brute_force(spark):
+    d, labels = toxic_documents(300)
+    d += [(900, None, None, None, None), (901, "", "en", "s", 0), (902, "1234 ... !!\n", "en", "s", 0), (903, "vilething " * 30_000, "en", "s", 0), (904, "ÄÖ vilething\nfoulword", "de", "s", 0)]
+    frame = spark.createDataFrame(d, DOCS)
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for m in (model, toxicity.Model({}, -30.0)):
+        got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(frame, m).collect()}
+        for i, text, *_ in d:
+            want = brute.toxicity(text, m.weights, m.bias, toxicity.BUCKETS)
+            assert abs(got[i][0] - want) < 1e-9 and got[i][1] == int(got[i][0] >= 0.3)
+        assert all(str(got[i][0]) == "0.0" for i in (900, 901, 902))
+    assert max(s for s, _ in got.values()) == 0
+
+
 def test_toxic_sentences_are_located(spark):
     d, labels = toxic_documents()
     frame = spark.createDataFrame(d, DOCS)
