@@ -17,7 +17,6 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     Each round's links are written to the shared folder, so a lost executor costs one round at most.
     Links with a null end are dropped; repeated links and loops change nothing.
     """
-    spark = links.sparkSession
     both = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = materialise(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
@@ -33,7 +32,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         then = materialise(small.distinct(), label)
         new = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        remove(spark, now)
+        remove(now)
         now = then
         if new == state:
             break

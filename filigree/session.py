@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import logging
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,14 @@ def get_session(name: str = "filigree", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is configured."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where none is set and all run in one process, a temporary one is.
+
+    On a cluster a folder of the driver's machine would be another one on each executor's, so that is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="filigree-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -56,15 +63,32 @@ def _clean() -> None:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost nothing."""
-    path = new_path(df.sparkSession, label)
+    """Write ``df`` to the shared folder and read it again: the lineage ends there, and lost executors cost nothing.
+
+    The shuffle files of the write are deleted at once, as what was written stands for them. Should a query of another thread have
+    made some of these meanwhile, Spark makes them again when it misses them.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId()
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for shuffle in range(first + 1, context.newShuffleId()):
+        context.env().blockManager().master().removeShuffle(shuffle, False)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+#: Where the tables of `materialise` are.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def remove(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a materialised table that nothing will read again."""
-    jvm = spark._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete the files behind tables of `materialise` that nothing will read again; other tables stay."""
+    for df in tables:
+        path = _places.pop(df, None)
+        if path is not None:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _made.remove(path)
