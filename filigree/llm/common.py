@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,19 +11,12 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from filigree.session import materialise, new_path, remove, shared_dir
 
-__all__ = ["WORD", "bounded_batches", "free", "materialise", "new_path", "rank_within", "remove", "rows_of", "shared_dir", "through", "utf8"]
+__all__ = ["WORD", "bounded_batches", "materialise", "new_path", "rank_within", "remove", "rows_of", "shared_dir", "through", "utf8"]
 
 #: The word of every contract here: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def free(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: the driver deletes them, a moment after nothing refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
-
-
 def utf8(column: str) -> Column:
     """The text as bytes, null as empty, without a copy through Python strings."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

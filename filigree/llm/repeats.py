@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import bounded_batches, free, materialise, rows_of, through, utf8
+from filigree.llm.common import bounded_batches, materialise, rows_of, through, utf8
 
 
 
@@ -405,12 +405,8 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     keys = through(d, KEYS, first)
     bits = materialise(keys.groupBy("shard").applyInArrow(second, BITS), "repeats-bits")
-    del keys
-    free(spark)
     asked = d.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(third, ASKED)
     answers = materialise(asked.groupBy("shard").applyInArrow(fourth, BITS), "repeats-answers")
-    del asked
-    free(spark)
     got = bits.withColumn("step", F.lit(0)).union(answers.withColumn("step", F.lit(1)))
     return d.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(fifth, OUT)
 

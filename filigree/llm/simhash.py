@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.common import free, materialise, rows_of, through, utf8
+from filigree.llm.common import materialise, remove, rows_of, through, utf8
 from filigree.operators.components import components
 
 SEED = 42
@@ -473,12 +473,14 @@ def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: li
                     yield from near(np.full(len(j), i), j)
 
 
-def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int = 8 << 20) -> DataFrame:
     """The links between texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
     ``texts``: ``node, b``, one row a node that has links. Nodes are dealt into blocks by hash, and a link goes to the cell of
     its two blocks. A set goes once to each cell that has links of it, so a node of many links costs at most
-    one copy a block.
+    one copy a block. Blocks have sets of about ``block_bytes``, so a cell is bounded whatever the length of texts. Sets
+    are of the upper halves of 64-bit hashes of the shingles of whole texts: two different ones of a text of a million
+    words agree by chance in one word in ten thousand, which moves a similarity by less than 0.0002.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,7 +526,8 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
     # Repeated rows of a text give the same set.
     sets = through(texts, "node long, set binary", run).groupBy("node").agg(F.first("set").alias("set"))
     sets = materialise(sets, "simhash-sets")
-    blocks = F.lit(max(8, sets.count() // 1024))
+    size = sets.agg(F.sum(F.octet_length("set"))).head()[0] or 0
+    blocks = F.lit(max(8, size // block_bytes))
     block = lambda c: F.pmod(F.xxhash64(F.lit("block"), F.col(c)), blocks)
     cells = links.select(block("a").alias("p"), block("b").alias("q"), F.lit(None).cast("binary").alias("set"), "a", "b")
     need = cells.select("p", "q", F.col("a").alias("e")).union(cells.select("p", "q", F.col("b").alias("e"))).distinct()
@@ -544,7 +547,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more above it. All texts without words are one group. Null ids take part; ``first`` is null
     where a group has no other.
     """
-    spark = docs.sparkSession
     base = materialise(wide_fingerprints(docs, id_col, text_col, shingle), "simhash-wide")
     nodes = materialise(base.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.min("size").alias("size")), "simhash-nodes")
 
@@ -553,21 +555,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select(F.col("node").alias("o_node"), "first")
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
         texts = texts.join(one, (F.col("node") == F.col("o_node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "b")
-        sure = materialise(verified(links, texts, shingle, similarity), "simhash-verified")
-        free(spark)
-        return sure
+        return materialise(verified(links, texts, shingle, similarity), "simhash-verified")
 
     def grouped(sure: DataFrame) -> DataFrame:
         linked = components(sure, "simhash-similar").withColumnRenamed("node", "l_node")
         return nodes.join(linked, F.col("node") == F.col("l_node"), "left").withColumn("group", F.coalesce("root", "node"))
 
     near = materialise(nearest_links(nodes, radius, turns), "simhash-near")
-    free(spark)
     sure = check(near)
     by_near = materialise(grouped(sure).select("node", "fp", "size", "group"), "simhash-by-near")
     rest = materialise(crossing_links(by_near, radius, turns, similarity), "simhash-crossing")
-    free(spark)
-    found = materialise(grouped(sure.union(check(rest))).select("node", "first", "group"), "simhash-groups")
+    more = check(rest)
+    found = materialise(grouped(sure.union(more)).select("node", "first", "group"), "simhash-groups")
+    remove(base, nodes, near, sure, by_near, rest, more)
     least = found.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("least"))
     return found.join(least, F.col("group") == F.col("g")).select("node", "group", F.col("least").alias("first"))
 
@@ -582,7 +582,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = base.join(groups, F.col("n") == F.col("node")).groupBy("group")
     kept = kept.agg(F.min(F.struct(F.col("i").isNull().alias("none"), F.col("i"), F.col("n"))).alias("k")).select(F.col("k.i").alias("k_i"), F.col("k.n").alias("k_n"))
     kept = materialise(kept, "simhash-kept")
-    free(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), node_of(text_col).alias("n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.join(kept, (F.col("n") == F.col("k_n")) & F.col("i").eqNullSafe(F.col("k_i")), "left_semi")
     return rows.dropDuplicates(["n", "i"]).select("row.*")

@@ -165,7 +165,7 @@ def hot_shard(n: int = 5000, planted: int = 200) -> list[bytes]:
 def test_hot_shards_are_compared_whole(spark):
     """In a shard over the bound all pairs are found once, and no cell is much larger than two blocks."""
     n, fps = 5000, hot_shard()
-    d = spark.createDataFrame([(i, f, 100, i) for i, f in enumerate(fps)], "node long, fp binary, size int, group long").localCheckpoint()
+    d = spark.createDataFrame([(i, f, 100, i) for i, f in enumerate(fps)], "node long, fp binary, size int, group long").persist()
     for most in (4096, 700):
         got = sorted((r.a, r.b) for r in simhash.crossing_links(d, 58, 1, 0.8, most).collect())
         assert got == [(n + i, i) for i in range(200)]
