@@ -14,8 +14,9 @@ strings with the same one are a stretch of text, and equal strings always meet i
    equal strings; their smallest document decides which of them are later ones.
 3. The answers go back to the blocks, as bit sets, and the bytes go.
 
-Blocks and shards are bounded; a minimiser in more than ``hot`` blocks is dealt again, by each whole string. The text is
-moved by block in steps 2 and 3 rather than kept, and the steps between are small tables in the shared folder.
+Blocks and shards are bounded; a minimiser of more than ``hot`` stretches is dealt again, by each whole string, of which only a
+digest of 128 bits and the smallest document travel (`Singles`): so no group that a shard solves is larger, whatever
+the text. The text is moved by block in steps 2 and 3 rather than kept, and the steps between are small tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -43,11 +44,26 @@ KEY_BITS = 40
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93)
 
 
+#: Strings of a text that are hashed at once, so that a very long one needs no arrays of its length.
+PIECE = 1 << 20
+
+
 def minimisers(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, start and count of the stretches of strings of ``length`` bytes that have the same minimiser.
 
-    Stretches are cut at the width of the window, so that none is longer than one with a single minimiser can be.
+    Stretches are cut at the width of the window, so that none is longer than one with a single minimiser can be, and at the
+    ends of pieces of a very long text. A string has the same minimiser wherever it is cut.
     """
+    if len(b) < PIECE + length:
+        return _minimisers(b, length)
+    parts = []
+    for at in range(0, len(b) - length + 1, PIECE):
+        key, start, count = _minimisers(b[at : at + PIECE + length - 1], length)
+        parts.append((key, start + at, count))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _minimisers(b: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(b) - length + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -114,22 +130,40 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys * np.uint64(n)) >> np.uint64(KEY_BITS)).astype(np.int64)
 
 
-def ask_keys(parts: list[tuple[int, int, np.ndarray]], shards: int) -> Iterator[tuple]:
-    """Rows (shard, block, keys, several) of some documents (block, place, keys): a shard's minimisers, sorted, and whether several places have it."""
-    key = np.concatenate([k for _, _, k in parts])
-    n = [len(k) for _, _, k in parts]
-    block, place = np.repeat([b for b, _, _ in parts], n), np.repeat(np.array([p for _, p, _ in parts], np.int64), n)
+#: A minimiser that stands oftener in some documents is counted by its different stretches.
+OFTEN = 8
+
+
+def ask_keys(parts: list[tuple], shards: int, length: int) -> Iterator[tuple]:
+    """Rows (shard, block, keys, several, times) of some documents (block, place, text, keys, starts, counts).
+
+    A shard's minimisers, sorted; whether several places have it, and how many stretches: different ones, or
+    occurrences where they are few.
+    """
+    import xxhash
+
+    key, start, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+    n = [len(p[3]) for p in parts]
+    block, place, doc = (np.repeat(np.array(x, np.int64), n) for x in ([p[0] for p in parts], [p[1] for p in parts], range(len(parts))))
     order = np.lexsort((place, key, block))
     key, block, place = key[order], block[order], place[order]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(key) else np.zeros(0, int)
     last = np.append(first[1:], len(key)) - 1
+    times = last - first + 1
+    often = np.flatnonzero(times > OFTEN)
+    if len(often):
+        group = np.repeat(often, times[often])
+        at = order[np.concatenate([np.arange(first[g], last[g] + 1) for g in often.tolist()])]
+        made = [xxhash.xxh3_64_intdigest(parts[d][2][s : s + c + length - 1]) for d, s, c in zip(doc[at].tolist(), start[at].tolist(), count[at].tolist(), strict=True)]
+        different = np.unique(np.stack([group.astype(np.uint64), np.array(made, np.uint64)]), axis=1)[0].astype(np.int64)
+        times[often] = np.bincount(different, minlength=len(times))[often]
     key, block, several = key[first], block[first], place[first] < place[last]
     # Shards are ranges of keys, so both together are in order.
     for at, part in cuts(block * shards + shard_of(key, shards)):
-        yield at % shards, at // shards, packed(key[part]), np.packbits(several[part]).tobytes()
+        yield at % shards, at // shards, packed(key[part]), np.packbits(several[part]).tobytes(), packed(times[part].astype("<u4"))
 
 
-def answer_keys(blocks: list[int], keys: list[bytes], several: list[bytes], hot: int) -> Iterator[tuple[int, bytes]]:
+def answer_keys(blocks: list[int], keys: list[bytes], several: list[bytes], times: list[bytes], hot: int) -> Iterator[tuple[int, bytes]]:
     """Rows (block, bits): two bits for each different key that a block asked for, in order: whether it is shared and whether it is hot."""
     lists = [unpacked(k, "<u8") for k in keys]
     if not lists:
@@ -137,7 +171,8 @@ def answer_keys(blocks: list[int], keys: list[bytes], several: list[bytes], hot:
     key, block = np.concatenate(lists), np.repeat(blocks, [len(k) for k in lists])
     flag = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(several, lists, strict=True)])
     _, of, n = np.unique(key, return_inverse=True, return_counts=True)
-    shared, many = ((n > 1) | (np.bincount(of, flag) > 0))[of], (n > hot)[of]
+    stretches = np.bincount(of, np.concatenate([unpacked(t, "<u4") for t in times]))
+    shared, many = ((n > 1) | (np.bincount(of, flag) > 0))[of], (stretches > hot)[of]
     order = np.lexsort((key, block))
     key, block, shared, many = key[order], block[order], shared[order], many[order]
     one = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
@@ -146,6 +181,76 @@ def answer_keys(blocks: list[int], keys: list[bytes], several: list[bytes], hot:
         yield number, np.packbits(np.stack([shared[part], many[part]])).tobytes()
 
 
+def string_digests(text: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """128 bits (two rows of uint64) of each string of ``length`` bytes: its words of eight through two chains of mixing."""
+    word = np.ndarray((len(text) - 7,), "<u8", np.frombuffer(text, np.uint8), strides=(1,))
+    out = np.zeros((2, len(starts)), np.uint64)
+    for at in range(0, len(starts), PIECE):
+        some = starts[at : at + PIECE]
+        a, b = np.full(len(some), MIX[3], np.uint64), np.full(len(some), MIX[1], np.uint64)
+        for off in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            w = word[some + off]
+            a = (a ^ w) * np.uint64(MIX[0])
+            a ^= a >> np.uint64(32)
+            b = (b + w) ^ (b >> np.uint64(29))
+            b *= np.uint64(MIX[2])
+            b ^= b >> np.uint64(31)
+        out[0, at : at + PIECE], out[1, at : at + PIECE] = a * np.uint64(MIX[3]), b
+    return out
+
+
+class Singles:
+    """The strings of the stretches of hot minimisers of a block: all occurrences, and the different ones, with the smallest place here."""
+
+    def __init__(self, block: Block, use: np.ndarray, length: int, shards: int):
+        times = block.count[use]
+        of = np.repeat(use, times)
+        self.row = block.row[of].astype(np.int32)
+        self.start = block.start[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        self.place = block.place[of]
+        digests = np.zeros((2, len(of)), np.uint64)
+        for row, part in cuts(self.row):
+            digests[:, part] = string_digests(block.texts[row], self.start[part], length)
+        order = np.lexsort((digests[1], digests[0]))
+        digests = digests[:, order]
+        new = np.concatenate([[True], (digests[:, 1:] != digests[:, :-1]).any(0)]) if len(order) else np.zeros(0, bool)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.names = digests[:, new]  # sorted, so shards, which are ranges of the first 64 bits, are in order too
+        self.low = np.full(self.names.shape[1], np.iinfo(np.int64).max)
+        np.minimum.at(self.low, self.of, self.place)
+        self.shard = shard_of(self.names[0] >> np.uint64(64 - KEY_BITS), shards)
+
+
+def answer_singles(rows: list[tuple], at_once: int = 1 << 21) -> Iterator[tuple[int, bytes]]:
+    """Rows (block, bits): for each string that a block asked for whether a document with a smaller id than the smallest there has it.
+
+    ``rows``: (block, first 64 bits, low, second 64 bits) of one shard, sorted; solved a range of them at a time.
+    """
+    names = [(unpacked(r[1], "<u8"), unpacked(r[3], "<u8")) for r in rows]
+    low = [unpacked(r[2], "<i8") for r in rows]
+    bits = [np.zeros(len(x), bool) for x in low]
+    pieces = -(-sum(map(len, low)) // at_once)
+    least, most = (min(n[0][0] for n in names), max(n[0][-1] for n in names)) if pieces else (0, 0)
+    edges = [int(least) + (int(most) - int(least) + 1) * k // pieces for k in range(1, pieces)]
+    ends = [[0, *np.searchsorted(n[0], np.array(edges, np.uint64)).tolist(), len(n[0])] for n in names]
+    for k in range(pieces):
+        parts = [slice(e[k], e[k + 1]) for e in ends]
+        a, b, place = (np.concatenate([x[p] for x, p in zip(y, parts, strict=True)]) for y in ([n[0] for n in names], [n[1] for n in names], low))
+        order = np.lexsort((b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(order) else np.zeros(0, bool)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        earliest = np.full(int(new.sum()), np.iinfo(np.int64).max)
+        np.minimum.at(earliest, of, place)
+        later, at = place > earliest[of], 0
+        for x, p in zip(bits, parts, strict=True):
+            x[p] = later[at : at + p.stop - p.start]
+            at += p.stop - p.start
+    for r, x in zip(rows, bits, strict=True):
+        yield r[0], np.packbits(x).tobytes()
+
+
 class Stretches:
     """The shared stretches of a block: all occurrences, and the different ones, with the smallest place here."""
 
@@ -159,19 +264,14 @@ class Stretches:
                 shared[at], many[at] = got[0], got[1]
         use = np.flatnonzero(shared[block.of])
         split = many[block.of[use]]
-        # Hot minimisers: each string by itself.
-        times = np.where(split, block.count[use], 1)
-        of = np.repeat(use, times)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-        single = np.repeat(split, times)
-        self.row, self.start = block.row[of], block.start[of] + at
-        self.count = np.where(single, 1, block.count[of])
-        self.place = block.place[of]
+        self.singles = Singles(block, use[split], length, shards)
+        of = use[~split]
+        self.row, self.start, self.count, self.place = block.row[of], block.start[of], block.count[of], block.place[of]
         text = block.texts
         strings = [text[r][s : s + n + length - 1] for r, s, n in zip(self.row.tolist(), self.start.tolist(), self.count.tolist(), strict=True)]
         digests = np.array([xxhash.xxh3_128_digest(x) for x in strings], "S16") if strings else np.zeros(0, "S16")
         raw = np.frombuffer(digests.tobytes(), ">u8").reshape(-1, 2)
-        shard_key = np.where(single, raw[:, 0] >> np.uint64(64 - KEY_BITS), block.key[of])
+        shard_key = block.key[of]
         self.names, first, self.of = np.unique(raw.view("V16").ravel(), return_index=True, return_inverse=True)
         self.low = np.full(len(self.names), np.iinfo(np.int64).max)
         np.minimum.at(self.low, self.of, self.place)
@@ -181,11 +281,14 @@ class Stretches:
         self.first, self.strings, self.key, self.sizes = first, strings, shard_key[first], self.count[first]
 
     def ask(self, number: int) -> Iterator[tuple]:
-        """Rows (shard, block, keys, low, sizes, text)."""
+        """Rows (shard, block, step, keys, low, sizes, text): of stretches (step 1), and of single strings (step 2)."""
         for shard, at in cuts(self.shard):
             pick = self.order[at]
             text = b"".join(self.strings[i] for i in self.first[pick].tolist())
-            yield shard, number, packed(self.key[pick]), packed(self.low[pick]), self.sizes[pick].astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)
+            yield shard, number, 1, packed(self.key[pick]), packed(self.low[pick]), self.sizes[pick].astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=3).compress(text)
+        one = self.singles
+        for shard, at in cuts(one.shard):
+            yield shard, number, 2, packed(one.names[0, at]), packed(one.low[at]), b"", packed(one.names[1, at])
 
 
 class Collection:
@@ -311,17 +414,25 @@ def answer_stretches(rows: list[tuple], length: int, rows_at_once: int = 1 << 17
         at += n
 
 
-def removed(block: Block, asked: Stretches, answers: dict[int, bytes], length: int) -> list[np.ndarray]:
+def removed(block: Block, asked: Stretches, answers: dict[int, bytes], singles: dict[int, bytes], length: int) -> Iterator[np.ndarray]:
     """For each document of a block, which of its bytes go."""
+    one = asked.singles
+    later = np.zeros(len(one.low), bool)
+    for shard, at in cuts(one.shard):
+        later[at] = np.unpackbits(np.frombuffer(singles[shard], np.uint8), count=at.stop - at.start)
+    later = (one.place > one.low[one.of]) | later[one.of]
+    single, end = one.start[later], np.searchsorted(one.row[later], np.arange(len(block.texts) + 1))
     bits = np.zeros(len(asked.names), np.uint64)
     for shard, at in cuts(asked.shard):
         bits[asked.order[at]] = unpacked(answers[shard], "<u8")
     mine = np.where(asked.place > asked.low[asked.of], np.uint64((1 << 64) - 1), bits[asked.of])
-    gone = []
     by = np.searchsorted(asked.row, np.arange(len(block.texts) + 1))
     for i, b in enumerate(block.texts):
         part = slice(by[i], by[i + 1])
-        edge = np.zeros(len(b) + length + 1, np.int64)
+        edge = np.zeros(len(b) + length + 1, np.int32)
+        starts = single[end[i] : end[i + 1]]  # of strings of a document, each once
+        edge[starts] += 1
+        edge[starts + length] -= 1
         for s, n, m in zip(asked.start[part].tolist(), asked.count[part].tolist(), mine[part].tolist(), strict=True):
             if not m:
                 continue
@@ -333,13 +444,12 @@ def removed(block: Block, asked: Stretches, answers: dict[int, bytes], length: i
                     if m >> j & 1:
                         edge[s + j] += 1
                         edge[s + j + length] -= 1
-        gone.append(np.cumsum(edge)[: len(b)] > 0)
-    return gone
+        yield np.cumsum(edge, dtype=np.int32)[: len(b)] > 0
 
 
-KEYS = "shard int, block int, keys binary, several binary"
-BITS = "block int, shard int, bits binary"
-ASKED = "shard int, block int, keys binary, low binary, sizes binary, text binary"
+KEYS = "shard int, block int, keys binary, several binary, times binary"
+BITS = "block int, shard int, step int, bits binary"
+ASKED = "shard int, block int, step int, keys binary, low binary, sizes binary, text binary"
 
 
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
@@ -371,34 +481,35 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         held, size = [], 0
         for batch in rows_of(batches):
             for number, at, b in zip(*(batch.column(c).to_pylist() for c in ("block", "place", "b")), strict=True):
-                held.append((number, at, minimisers(b, length)[0]))
-                size += len(held[-1][2])
+                held.append((number, at, b, *minimisers(b, length)))
+                size += len(held[-1][3])
             if size >= 1 << 20:
-                yield from _table(list(ask_keys(held, shards)), KEYS).to_batches()
+                yield from _table(list(ask_keys(held, shards, length)), KEYS).to_batches()
                 held, size = [], 0
         if held:
-            yield from _table(list(ask_keys(held, shards)), KEYS).to_batches()
+            yield from _table(list(ask_keys(held, shards, length)), KEYS).to_batches()
 
     def second(key: tuple, table: pa.Table) -> pa.Table:
-        cols = (table.column(c).to_pylist() for c in ("block", "keys", "several"))
-        return _table([(b, key[0].as_py(), x) for b, x in answer_keys(*cols, hot)], BITS)
+        cols = (table.column(c).to_pylist() for c in ("block", "keys", "several", "times"))
+        return _table([(b, key[0].as_py(), 0, x) for b, x in answer_keys(*cols, hot)], BITS)
 
     def third(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         bits = dict(zip(got.column("shard").to_pylist(), got.column("bits").to_pylist(), strict=True))
         return _table(list(Stretches(Block(table, length), bits, length, shards).ask(key[0].as_py())), ASKED)
 
     def fourth(key: tuple, table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "keys", "low", "sizes", "text")), strict=True))
-        return _table([(b, key[0].as_py(), x) for b, x in answer_stretches(rows, length)], BITS)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("step", "block", "keys", "low", "sizes", "text")), strict=True))
+        whole, single = [r[1:] for r in rows if r[0] == 1], [(*r[1:4], r[5]) for r in rows if r[0] == 2]
+        return _table([(b, key[0].as_py(), 1, x) for b, x in answer_stretches(whole, length)] + [(b, key[0].as_py(), 2, x) for b, x in answer_singles(single)], BITS)
 
     def fifth(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         block = Block(table, length)
-        both = {k: {} for k in (0, 1)}
+        got_of = {k: {} for k in (0, 1, 2)}
         for s, k, x in zip(*(got.column(c).to_pylist() for c in ("shard", "step", "bits")), strict=True):
-            both[k][s] = x
+            got_of[k][s] = x
         out = []
-        asked = Stretches(block, both[0], length, shards)
-        for i, b, gone in zip(block.ids, block.texts, removed(block, asked, both[1], length), strict=True):
+        asked = Stretches(block, got_of[0], length, shards)
+        for i, b, gone in zip(block.ids, block.texts, removed(block, asked, got_of[1], got_of[2], length), strict=True):
             spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(b) else 0
             out.append((i, len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
         return _table(out, OUT)
@@ -407,7 +518,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     bits = materialise(keys.groupBy("shard").applyInArrow(second, BITS), "repeats-bits")
     asked = d.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(third, ASKED)
     answers = materialise(asked.groupBy("shard").applyInArrow(fourth, BITS), "repeats-answers")
-    got = bits.withColumn("step", F.lit(0)).union(answers.withColumn("step", F.lit(1)))
+    got = bits.union(answers)
     return d.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(fifth, OUT)
 
 

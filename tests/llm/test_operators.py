@@ -235,13 +235,44 @@ def place(i):
     return (1 << 63) - 1 if i is None else i
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [2000, 20, 1, 0])
 def test_repeats_against_brute_force(spark, docs, rows, hot):
     want = brute.repeats([(place(r[0]), r[1]) for r in rows], 50)
     got = repeats.drop_repeats(docs, block_bytes=4000, hot=hot).collect()
     assert brute.multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute.multiset((r[0], *w) for r, w in zip(rows, want, strict=True))
 
 
+def log_like(lines: int, seed: int) -> str:
+    """A fixed field of 45 bytes and 30 that vary: nearly all stretches have one of few minimisers."""
+    rng = random.Random(seed)
+    return "".join(f"{'level=info service=checkout-frontend region=eu ':<45.45}{rng.getrandbits(115):030x}"[:75] for _ in range(lines))
+
+
+@pytest.mark.parametrize("hot", [2000, 30])
+def test_repeats_of_a_frequent_field(spark, hot):
+    """Minimisers of thousands of different stretches within three documents are dealt again by string."""
+    rows = [(i, log_like(900, i)) for i in range(3)]
+    rows += [(3, rows[0][1][1000:9000] + "tail" + rows[2][1][5000:5200])]
+    asked = [(0, i, t.encode(), *repeats.minimisers(t.encode(), 50)) for i, t in rows]
+    key, several, times = (x for x in zip(*((k, s, t) for _, _, k, s, t in repeats.ask_keys(asked, 1, 50)), strict=True))
+    assert repeats.unpacked(times[0], "<u4").max() > 600
+    want = brute.repeats(rows, 50)
+    got = repeats.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=100_000, hot=hot).collect()
+    assert brute.multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute.multiset((r[0], *w) for r, w in zip(rows, want, strict=True))
+
+
+def test_minimisers_of_pieces(monkeypatch):
+    """A string has the same key however a long text is cut."""
+    t = log_like(40, 1).encode() + bytes(random.Random(2).choices(b"abc ", k=4000))
+    keys = []
+    for piece in (1 << 20, 700):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        key, start, count = repeats.minimisers(t, 50)
+        assert count.sum() == len(t) - 49 and (start[1:] == start[:-1] + count[:-1]).all()
+        keys.append(np.repeat(key, count).tolist())
+    assert keys[0] == keys[1]
+
+
 @pytest.mark.parametrize("length", [9, 20, 300])
 def test_repeats_of_other_lengths(docs, rows, length):
     want = brute.repeats([(place(r[0]), r[1]) for r in rows if r[0] != 64], length)
