@@ -167,13 +167,16 @@ def revisits(records: DataFrame, least: int = 1000) -> DataFrame:
 
     The others become ``revisit`` and name its record; all rows that share the largest id (repeated rows) stay
     responses, and so do all if no record of the group has an id. Digests are summed by group before
-    they move, and the join is one that Spark can split where a payload is very frequent.
+    they move, and the join is one that Spark can split where a payload is very frequent; records that can't be revisits are dealt
+    by their own ids there, so that they don't meet under a null key. Null and empty payloads are short ones; no records give none.
     """
     r = records.withColumn("page_id", page_of("http_head"))
     big = (F.col("record_type") == "response") & (F.col("payload_bytes") >= least)
     kept = r.filter(big).groupBy(F.col("payload_sha1").alias("k_sha1"), F.col("payload_bytes").alias("k_bytes")).agg(F.max(F.struct("page_id", "record_id")).alias("kept"), F.count("*").alias("n"))
     kept = kept.filter((F.col("n") > 1) & F.col("kept.page_id").isNotNull()).drop("n")
-    out = r.join(kept, (F.when(big, F.col("payload_sha1")) == F.col("k_sha1")) & (F.col("payload_bytes") == F.col("k_bytes")), "left")
+    # No digest has an id's length.
+    digest = F.when(F.coalesce(big, F.lit(False)), F.col("payload_sha1")).otherwise(F.col("record_id").cast("binary"))
+    out = r.join(kept, (digest == F.col("k_sha1")) & (F.col("payload_bytes") == F.col("k_bytes")), "left")
     again = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id"))
     return out.select(
         "record_id",
@@ -189,19 +192,22 @@ def revisits(records: DataFrame, least: int = 1000) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, path: str, most_records: int = 2000) -> None:
-    """Gzipped WARC 1.1 files of ``most_records`` records at most, through Spark's own writer and committer.
+def write_warc(records: DataFrame, path: str, most_records: int = 2000, most_bytes: int = 32 << 20) -> None:
+    """Gzipped WARC 1.1 files of ``most_records`` records and about ``most_bytes`` at most, through Spark's own writer and committer.
 
-    The writer puts the two line ends that close a record between rows. Payloads must be UTF-8.
+    The writer puts the two line ends that close a record between rows. Payloads must be UTF-8; a null one is empty.
+    A record larger than ``most_bytes`` ends its file. Equal records are written as often as they come, in no order
+    that is promised; no records give an empty folder.
     """
     d = records.select(F.struct("*").alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size = 0, 0
         for batch in rows_of(batches):
-            out = []
+            out, files = [], []
             for x in batch.column(0):
                 r = x.as_py()
-                block = r["http_head"] + r["payload"]
+                block = (r["http_head"] or b"") + (r["payload"] or b"")
                 head = [
                     "WARC/1.1",
                     f"WARC-Type: {r['record_type']}",
@@ -215,10 +221,14 @@ def write_warc(records: DataFrame, path: str, most_records: int = 2000) -> None:
                     f"Content-Length: {len(block)}",
                 ]
                 out.append("\r\n".join(head).encode() + b"\r\n\r\n" + block)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                files.append(file)
+                size += len(out[-1])
+                if size >= most_bytes:
+                    file, size = file + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], names=["value", "file"])
 
-    text = through(d, "value binary", run).select(F.col("value").cast("string").alias("value"))
-    text.write.option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
+    text = through(d, "value binary, file int", run).select(F.col("value").cast("string").alias("value"), "file")
+    text.write.partitionBy("file").option("lineSep", GAP).option("compression", "gzip").option("maxRecordsPerFile", most_records).text(path)
 
 
 class _Buffer:
@@ -331,7 +341,9 @@ def read_warc(spark, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, least: int = 1000, **columns) -> DataFrame:
     """Pages through ARC, the converter and WARC files, and back: what `read_warc` gives of their records.
 
-    One record for each row of ``pages``, with ``refers_page``, the page id of the record that a revisit names.
+    One record for each row of ``pages``, with ``refers_page``, the page id of the record that a revisit names. Null html is
+    an empty payload, null ids stay null, and repeated rows are records of their own: those that share the largest id of equal
+    payloads are all responses. Other columns of ``pages`` are left out. No pages give none.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
@@ -339,4 +351,6 @@ def archive_pages(pages: DataFrame, least: int = 1000, **columns) -> DataFrame:
     write_warc(revisits(converted, least), path)
     records = read_warc(spark, path).filter(F.col("record_type").isin("response", "revisit"))
     named = records.filter(F.col("record_type") == "response").select(F.col("record_id").alias("n_id"), F.col("page_id").alias("refers_page"))
-    return records.join(named, F.col("refers_to") == F.col("n_id"), "left").drop("n_id")
+    # Responses name nothing; dealt by their own ids they don't meet under a null key.
+    names = F.coalesce("refers_to", F.concat(F.lit("-"), F.col("record_id")))
+    return records.join(named, names == F.col("n_id"), "left").drop("n_id")
