@@ -443,16 +443,20 @@ def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: li
     sizes = np.diff(np.append(cuts, n))
     length = np.repeat(sizes, sizes)
 
-    def near(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Those of the pairs that are links and don't share an earlier shard."""
+    def near(i: np.ndarray, j: np.ndarray, values: np.ndarray | None = None, base: int = 0) -> Iterator[pa.RecordBatch]:
+        """Those of the pairs that are links and don't share an earlier shard; ``values``: the shards of the rows from ``base`` on, if they are known."""
         ok = (group[i] != group[j]) & ((own[i] != own[j]) | (low[i] == high[i])) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
         ok = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= radius
         i, j = i[ok], j[ok]
         for at in range(0, len(i), 1 << 13):
             x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-            differ = np.ascontiguousarray(fp[x] ^ fp[y]).view(np.uint8)
-            first = np.concatenate([_shard_values(differ, o) == 0 for o in orders], axis=1).argmax(1) == shard[x] >> 16
+            if values is None:
+                differ = np.ascontiguousarray(fp[x] ^ fp[y]).view(np.uint8)
+                equal = np.concatenate([_shard_values(differ, o) == 0 for o in orders], axis=1)
+            else:
+                equal = values[x - base] == values[y - base]
+            first = equal.argmax(1) == shard[x] >> 16
             x, y = node[x[first]], node[y[first]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
@@ -465,12 +469,14 @@ def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: li
     for at, count in zip(cuts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
         # Rows of one group are neighbours: what a row is compared with begins where its group ends.
         end = np.searchsorted(group[at : at + count], group[at : at + count], "right") + at
+        bits = np.ascontiguousarray(fp[at : at + count]).view(np.uint8)
+        values = np.concatenate([_shard_values(bits, o).astype(np.uint16) for o in orders], axis=1)
         for i in range(at, at + count):
             if end[i - at] < at + count:
                 j = np.arange(end[i - at], at + count)
                 j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= radius]
                 if len(j):
-                    yield from near(np.full(len(j), i), j)
+                    yield from near(np.full(len(j), i), j, values, at)
 
 
 def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int = 8 << 20) -> DataFrame:
@@ -479,13 +485,12 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
     ``texts``: ``node, b``, one row a node that has links. Nodes are dealt into blocks by hash, and a link goes to the cell of
     its two blocks. A set goes once to each cell that has links of it, so a node of many links costs at most
     one copy a block. Blocks have sets of about ``block_bytes``, so a cell is bounded whatever the length of texts. Sets
-    are of the upper halves of 64-bit hashes of the shingles of whole texts: two different ones of a text of a million
-    words agree by chance in one word in ten thousand, which moves a similarity by less than 0.0002.
+    are of 64-bit hashes of the shingles of whole texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            sets = [np.unique((shingle_hashes(b.as_py(), shingle) >> np.uint64(32)).astype("<u4")).tobytes() for b in batch.column(1)]
+            sets = [shingle_hashes(b.as_py(), shingle).astype("<u8").tobytes() for b in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,7 +504,7 @@ def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 if (p[s], q[s]) != cell:
                     cell, sets, ids = (p[s], q[s]), {}, {}
                 if held[s]:
-                    sets |= {k: np.frombuffer(v.as_py(), "<u4") for k, v in zip(a[s:e].tolist(), batch.column(2)[s:e], strict=True)}
+                    sets |= {k: np.frombuffer(v.as_py(), "<u8") for k, v in zip(a[s:e].tolist(), batch.column(2)[s:e], strict=True)}
                     continue
                 if not ids:  # shingles of the cell numbered from 0
                     words, at = np.unique(np.concatenate([*sets.values()]), return_inverse=True)

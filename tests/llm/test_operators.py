@@ -448,6 +448,21 @@ def test_warc_against_brute_force(spark, monkeypatch):
     assert queries.op6_warc(spark, "").count() == 0
 
 
+def test_warc_files_are_bounded(spark, tmp_path):
+    """By records and by bytes; what is read again is the same, nulls and repeated rows included."""
+    pages = [(i, "u", "z" * 50_000 + str(i)) for i in range(30)] + [(None, None, None), (3, "u", "z" * 50_000 + "3")]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    records = warc.revisits(warc.arc_to_warc(warc.pages_to_arc(d))).coalesce(1)
+    warc.write_warc(records, f"{tmp_path}/w", most_records=7, most_bytes=200_000)
+    sizes = []
+    for f in Path(f"{tmp_path}/w").rglob("*.gz"):
+        raw = b"".join(warc.unzipped(f.read_bytes()))
+        sizes.append((len(raw), raw.count(b"WARC/1.1")))
+    assert len(sizes) >= 8 and max(b for b, _ in sizes) < 300_000 and max(n for _, n in sizes) <= 7
+    got = warc.read_warc(spark, f"{tmp_path}/w").filter("record_type <> 'warcinfo'")
+    assert brute.multiset((r.page_id, r.payload_bytes) for r in got.collect()) == brute.multiset((i, len(h or "")) for i, _, h in pages)
+
+
 def test_arc_versions_and_damage():
     v1 = warc.arc_version_block("a.arc", 1, "20010203040506") + b"http://x/a b 1.2.3.4 20010203040506 text/html 5\nhello\n" + b"broken line\n" + b"http://y/ 1.2.3.4 20010203040507 text/plain 3\nabc\n"
     got = list(warc.read_arc(v1))
