@@ -8,10 +8,14 @@ the words taken differ from the target by less than about the source's largest d
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.llm.common import WORD, materialise, rank_within
+from filigree.llm.common import WORD, materialise, rank_within, through
 
 
 #: Neighbours whose places are turned together.
@@ -85,19 +89,34 @@ def mix(
     targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     targets = materialise(targets.withColumnRenamed("source", "t_source"), "mix-targets")
 
-    def copies(offset: Column, turn: Column) -> Column:
-        first = F.col("rank") - F.col("rank") % RUN
-        at = first + (F.col("rank") - first + turn) % F.least(F.lit(RUN), F.col("n") - first)
-        crossed = F.floor((at + 1) * F.col("rate") + offset) - F.floor(at * F.col("rate") + offset)
-        return F.when(F.col("size") > 0, crossed).otherwise(F.lit(0)).cast("long")
-
     same = F.col("source").eqNullSafe(F.col("t_source"))
-    tried = [(F.pmod(F.col("start") + F.lit(j / tries), F.lit(1.0)), F.lit(j % RUN).cast("long"), f"taken{j}") for j in range(tries)]
-    totals = ranked.select("source", "size", "rank").join(targets, same).groupBy("t_source", "start", "target", "n").agg(*[F.sum(F.col("size") * copies(u, m)).alias(k) for u, m, k in tried])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(k) - F.col("target")).alias("off"), u.alias("offset"), m.alias("turn")) for u, m, k in tried]))
-    chosen = totals.select(F.col("t_source").alias("c_source"), best["offset"].alias("offset"), best["turn"].alias("turn"))
+    placed = ranked.select(F.col("source").cast("string").alias("source"), "size", "rank").join(targets.select("t_source", "n", "rate", "start"), same)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that each pair takes of the batch's documents, by source."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            of, names = np.asarray(names.indices), names.dictionary
+            size, rank, n, rate, start = (np.asarray(batch.column(i)) for i in range(1, 6))
+            first = rank - rank % RUN
+            for j in range(tries):
+                at = first + (rank - first + j % RUN) % np.minimum(RUN, n - first)
+                offset = np.fmod(start + j / tries, 1.0)
+                words = (np.floor((at + 1) * rate + offset) - np.floor(at * rate + offset)) * size
+                yield pa.RecordBatch.from_arrays([names, pa.array([j] * len(names), pa.int32()), pa.array(np.bincount(of, words, len(names)).astype(np.int64))], names=["w_source", "j", "words"])
+
+    words = through(placed.select("source", "size", "rank", "n", "rate", "start"), "w_source string, j int, words long", totals)
+    words = words.groupBy("w_source", "j").agg(F.sum("words").alias("words")).join(targets.select("t_source", "target", "start"), F.col("w_source").eqNullSafe(F.col("t_source")))
+    offset = F.pmod(F.col("start") + F.col("j") / F.lit(float(tries)), F.lit(1.0))
+    best = words.groupBy("w_source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("off"), offset.alias("offset"), (F.col("j") % RUN).alias("turn"))).alias("best"))
+    chosen = best.select(F.col("w_source").alias("c_source"), F.col("best.offset").alias("offset"), F.col("best.turn").cast("long").alias("turn"))
     plan = targets.join(chosen, F.col("t_source").eqNullSafe(F.col("c_source"))).drop("c_source")
-    out = ranked.join(plan, same).withColumn("copies", copies(F.col("offset"), F.col("turn")))
+    first = F.col("rank") - F.col("rank") % RUN
+    at = first + (F.col("rank") - first + F.col("turn")) % F.least(F.lit(RUN), F.col("n") - first)
+    crossed = F.floor((at + 1) * F.col("rate") + F.col("offset")) - F.floor(at * F.col("rate") + F.col("offset"))
+    out = ranked.join(materialise(plan, "mix-plan"), same).withColumn("copies", F.when(F.col("size") > 0, crossed).otherwise(F.lit(0)).cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *(["mark"] if mark else []))
 
@@ -110,7 +129,7 @@ def mark_of(docs: DataFrame) -> Column:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as the mix takes it.
 
-    Copies come back to their rows by id and ``mark``; equal rows are one, which is emitted as often as all of them together.
+    Null and empty texts, having no words, are not taken; null ids are. Copies come back to their rows by id and ``mark``; equal rows are one, which is emitted as often as all of them together.
     """
     taken = mix(docs, id_col=id_col, mark=True, **options).filter(F.col("copies") > 0)
     taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark")).agg(F.sum("copies").alias("copies"))
