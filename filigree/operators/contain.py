@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from filigree.operators.graph import drop_loops, induced
 from filigree.registry import EMBEDDERS
+from filigree.session import materialise, remove
 
 
 def violation(q: str | Column, r: str | Column) -> Column:
@@ -72,6 +73,62 @@ def structural_counts(members: DataFrame, edges: DataFrame) -> DataFrame:
     return shape.join(tri, "nb", "left").select("nb", "anchor", *[F.coalesce("t", F.lit(0)).alias(c) if c == "anchor_triangles" else F.col(c) for c in STRUCTURAL])
 
 
+def dominated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, f: np.ndarray, tau: float, leaf: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x`` the weight of the rows of ``y`` that contain it, and their largest ``f`` (-inf without any).
+
+    A dominance tree: rows of ``y`` are halved on their widest component, and a node knows its least and largest values. The
+    violation only falls as ``y`` rises, so against the largest values it tells that no row below can contain a query, and against the
+    least that all do; what neither settles goes down to the halves, and is compared row by row in the leaves.
+    """
+    n, best = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
+
+    def far(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        over = np.maximum(q - r, 0)
+        return np.einsum("ij,ij->i", over, over)
+
+    stack = [(np.arange(len(y)), np.arange(len(x)))]
+    while stack:
+        rows, seekers = stack.pop()
+        if not len(rows) or not len(seekers):
+            continue
+        low, high = y[rows].min(0), y[rows].max(0)
+        seekers = seekers[far(x[seekers], high) < tau]
+        sure = far(x[seekers], low) < tau
+        n[seekers[sure]] += weight[rows].sum()
+        best[seekers[sure]] = np.maximum(best[seekers[sure]], f[rows].max())
+        seekers = seekers[~sure]
+        if len(rows) > leaf:
+            wide = int((high - low).argmax())
+            order = rows[np.argsort(y[rows, wide], kind="stable")]
+            stack += [(order[: len(rows) // 2], seekers), (order[len(rows) // 2 :], seekers)]
+            continue
+        for r in rows.tolist():
+            hit = seekers[far(x[seekers], y[r]) < tau]
+            n[hit] += weight[r]
+            best[hit] = np.maximum(best[hit], f[r])
+    return n, best
+
+
+def _blocked(df: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
+    """The rows (each ``v`` once) in blocks ``b`` of about ``size`` neighbours in the sum of their components, and how many blocks."""
+    df = materialise(df, f"{label}-distinct")
+    n = max(1, -(-df.count() // size))
+    if n == 1:
+        return df.withColumn("b", F.lit(0)), 1
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    dealt = df.withColumns({"_t": total, "_h": F.xxhash64("v")}).repartitionByRange(n, "_t", "_h").drop("_t", "_h").withColumn("b", F.spark_partition_id())
+    out = materialise(dealt, label)
+    remove(df)
+    return out, n
+
+
+def _boxes(blocked: DataFrame, name: str) -> DataFrame:
+    """``{name}b, {name}low, {name}high``: least and largest components of each block, one row a block."""
+    each = blocked.select("b", F.posexplode("v").alias("i", "x")).groupBy("b", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda p: p[c])
+    return each.groupBy(F.col("b").alias(f"{name}b")).agg(side("low").alias(f"{name}low"), side("high").alias(f"{name}high"))
+
+
 def containment_counts(
     queries: DataFrame,
     refs: DataFrame,
@@ -82,59 +139,53 @@ def containment_counts(
     ref_freq: str | None = None,
     query_block: int = 2048,
     ref_block: int = 16_384,
-    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``qid, n_contained`` (and ``max_freq``, the largest ``ref_freq`` that contains it): of every query, 0 included.
 
-    Blocks of queries meet blocks of references, both bounded; within a pair of blocks the references are sorted
-    by their largest component, and only those that can contain a query (its largest component is at most theirs
-    plus the root of ``tau``) are compared, a tile at a time. Null embeddings and ids take no part.
-    ``sizes``: how many queries and references there are, if that is known; else they are counted.
+    Equal embeddings are one, with the number of references that have it, so work grows with different embeddings. These are
+    dealt into blocks of neighbours. The corners of two blocks often tell that no reference of one contains a query of the other, or
+    that all do; only the other pairs of blocks meet, and there a `dominated` search compares. Null embeddings and ids take no part.
     """
     q = queries.filter(F.col(emb).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("qid"), F.col(emb).alias("v"))
-    r = refs.filter(F.col(emb).isNotNull()).select(F.col(ref_id).cast("long").alias("rid"), F.col(emb).alias("v"), (F.col(ref_freq) if ref_freq else F.lit(None)).cast("double").alias("f"))
-    n_q, n_r = sizes or (q.count(), r.count())
-    n_q, n_r = max(1, -(-n_q // query_block)), max(1, -(-n_r // ref_block))
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = q.select("qid", "v", spread("qid", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb"))
-    r = r.select("v", "f", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), spread("rid", n_r).alias("rb"))
+    r = refs.filter(F.col(emb).isNotNull()).select(F.col(emb).alias("v"), (F.col(ref_freq) if ref_freq else F.lit(None)).cast("double").alias("f"))
+    asked, n_q = _blocked(q.select("v").distinct(), query_block, "contain-queries")
+    held, n_r = _blocked(r.groupBy("v").agg(F.count("*").alias("n"), F.max("f").alias("f")), ref_block, "contain-refs")
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({"qid": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "f": np.zeros(0)})
-        x = np.stack(a["v"].to_numpy()).astype(float)
-        n, f = np.zeros(len(x), np.int64), np.full(len(x), np.nan)
-        if len(b):
-            y = np.stack(b["v"].to_numpy()).astype(float)
-            top = y.max(1)
-            order = np.argsort(top, kind="stable")
-            y, top, g = y[order], top[order], b["f"].to_numpy(dtype=float)[order]
-            need = x.max(1) - np.sqrt(tau)
-            by = np.argsort(need, kind="stable")
-            tile = max(1, (1 << 22) // max(1, y.size))
-            for at in range(0, len(by), tile):
-                rows = by[at : at + tile]
-                start = int(np.searchsorted(top, need[rows[0]] - 1e-9))
-                if start == len(y):
-                    continue
-                over = np.maximum(x[rows, None, :] - y[None, start:, :], 0)
-                hit = np.einsum("ijk,ijk->ij", over, over) < tau
-                n[rows] = hit.sum(1)
-                got = np.where(hit, g[start:], -np.inf).max(1)
-                f[rows] = np.where(np.isfinite(got), got, np.nan)
-        return pd.DataFrame({"qid": a["qid"].to_numpy(), "n": n, "f": f})
-
-    parts = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(match, "qid long, n long, f double")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"v": pd.Series([], dtype=object), "n": np.zeros(0, np.int64), "f": np.zeros(0)})
+        x, y = (np.stack(t["v"].to_numpy()).astype(float) for t in (a, b))
+        n, f = dominated(x, y, b["n"].to_numpy(), b["f"].fillna(-np.inf).to_numpy(dtype=float), tau)
+        return pd.DataFrame({"v": a["v"], "n": n, "f": np.where(np.isfinite(f), f, np.nan)})
+
+    kind = q.schema["v"].dataType.simpleString()
+    left, right = asked.select("v", F.col("b").alias("qb")), held.select("v", "n", "f", F.col("b").alias("rb"))
+    if n_q * n_r > 1:
+        # One row a pair of blocks; blocks are thousands of rows.
+        pairs = _boxes(asked, "q").crossJoin(_boxes(held, "r")).filter(violation("qlow", "rhigh") < tau)
+        pairs = materialise(pairs.select("qb", "rb", (violation("qhigh", "rlow") < tau).alias("whole")), "contain-pairs")
+        whole = held.groupBy(F.col("b").alias("w_b")).agg(F.sum("n").alias("n"), F.max("f").alias("f"))
+        whole = pairs.filter("whole").join(whole, F.col("rb") == F.col("w_b")).groupBy(F.col("qb").alias("w_qb")).agg(F.sum("n").alias("n"), F.max("f").alias("f"))
+        sure = left.join(whole, F.col("qb") == F.col("w_qb")).select("v", "n", "f")
+        open_ = pairs.filter(~F.col("whole"))
+        left = left.join(open_.select(F.col("qb").alias("p_qb"), F.col("rb")), F.col("qb") == F.col("p_qb")).drop("p_qb")
+        right = right.join(open_.select("qb", F.col("rb").alias("p_rb")), F.col("rb") == F.col("p_rb")).drop("p_rb")
+    else:
+        left, right, sure = left.withColumn("rb", F.lit(0)), right.withColumn("qb", F.lit(0)), None
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(match, f"v {kind}, n long, f double")
+    found = found if sure is None else found.union(sure)
     best = F.max(F.when(~F.isnan("f"), F.col("f")))
-    return parts.groupBy("qid").agg(F.sum("n").alias("n_contained"), *([best.alias("max_freq")] if ref_freq else []))
+    found = materialise(found.groupBy(F.col("v").alias("f_v")).agg(F.sum("n").alias("n"), best.alias("f")), "contain-found")
+    remove(asked, held)
+    out = q.join(found, F.col("v") == F.col("f_v"), "left")
+    return out.select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n_contained"), *([F.col("f").alias("max_freq")] if ref_freq else []))
 
 
 def frequencies(queries: DataFrame, refs: DataFrame, tau: float, n_refs: int | None = None, **columns) -> DataFrame:
     """``qid, n_contained, freq``: the count over the number of references."""
     emb = F.col(columns.get("emb", "emb"))
     n = refs.filter(emb.isNotNull()).count() if n_refs is None else n_refs
-    sizes = (n if queries is refs else queries.filter(emb.isNotNull()).count(), n)
-    return containment_counts(queries, refs, tau, sizes=sizes, **columns).withColumn("freq", F.col("n_contained") / F.lit(float(max(1, n))))
+    return containment_counts(queries, refs, tau, **columns).withColumn("freq", F.col("n_contained") / F.lit(float(max(1, n))))
 
 
 def lower_bounded(counts: DataFrame, m: int, max_strength: float) -> DataFrame:

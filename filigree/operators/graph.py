@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.operators.components import components
+from filigree.operators.ranks import running
 
 
 def coalesce(edges: DataFrame) -> DataFrame:
@@ -98,8 +99,7 @@ def relabelled_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def offset_union(graphs: DataFrame, edges: DataFrame) -> DataFrame:
     """Many graphs (``graph_id, num_nodes``) as one: edges with ids moved by the nodes of the graphs before."""
-    before = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
-    moved = graphs.withColumn("offset", F.coalesce(F.sum("num_nodes").over(before), F.lit(0)))
+    moved = running(graphs, ["graph_id"], F.col("num_nodes"), "offset", "offsets")
     return edges.join(moved, "graph_id").select("graph_id", (F.col("src") + F.col("offset")).alias("src"), (F.col("dst") + F.col("offset")).alias("dst"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filigree.operators.ranks import running, with_totals
+
 
 def best_by_anchor(beams: DataFrame) -> DataFrame:
     """``anchor, score``: the largest of each anchor's scores."""
@@ -28,31 +30,39 @@ def confusion(scored: DataFrame, predicted: str = "pred", truth: str = "y") -> D
     return c.select("*", rate(tp + tn, tp + fp + tn + fn).alias("accuracy"), rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def _steps(scored: DataFrame, score: str, truth: str) -> DataFrame:
+    """``threshold, p, n, tp, fp, all_p, all_n`` for every distinct score: positives and negatives of it, with all of higher scores, and of all."""
+    by = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum((1 - F.col(truth)).cast("long")).alias("n"))
+    c = running(by, [F.desc("threshold")], F.col("p"), "tp", "curve")
+    c = running(c, [F.desc("threshold")], F.col("n"), "fp", "curve")
+    c = c.withColumn("tp", F.col("tp") + F.col("p")).withColumn("fp", F.col("fp") + F.col("n"))
+    return with_totals(c, all_p=F.sum("p"), all_n=F.sum("n"))
+
+
+def _rates(steps: DataFrame) -> DataFrame:
+    """With ``tpr, fpr``, and those of the step before, ``t0, f0``."""
+    rate = lambda a, b: F.try_divide(a.cast("double"), F.col(b).cast("double"))
+    tp, fp = F.col("tp"), F.col("fp")
+    return steps.select("threshold", "tp", "fp", rate(tp, "all_p").alias("tpr"), rate(fp, "all_n").alias("fpr"), rate(tp - F.col("p"), "all_p").alias("t0"), rate(fp - F.col("n"), "all_n").alias("f0"))
+
+
 def roc_curve(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
     """``threshold, tp, fp, tpr, fpr`` for every distinct score, from the highest on.
 
-    Counts are summed by score first, so the ordered pass runs over distinct scores.
+    Counts are summed by score first, and then over ranges of scores, so no task sees all of them.
     """
-    by = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum((1 - F.col(truth)).cast("long")).alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    c = by.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(all_).alias("P"), F.sum("n").over(all_).alias("N"))
-    return c.select("threshold", "tp", "fp", F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"), F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"))
+    return _rates(_steps(scored, score, truth)).drop("t0", "f0")
 
 
 def auroc(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
     """One row: the area under the curve by trapezoids; null if only one class is there."""
-    down = Window.orderBy(F.desc("threshold"))
-    c = roc_curve(scored, score, truth)
-    c = c.select("tpr", "fpr", F.lag("tpr", 1, 0.0).over(down).alias("t0"), F.lag("fpr", 1, 0.0).over(down).alias("f0"))
+    c = _rates(_steps(scored, score, truth))
     return c.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auroc"))
 
 
 def average_precision(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
     """One row: the sum of precision over the steps of recall; null without positives."""
-    down = Window.orderBy(F.desc("threshold"))
-    c = roc_curve(scored, score, truth)
-    c = c.select("tp", "fp", "tpr", F.lag("tpr", 1, 0.0).over(down).alias("t0"))
+    c = _rates(_steps(scored, score, truth))
     return c.agg(F.sum((F.col("tpr") - F.col("t0")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
 
 
@@ -65,9 +75,9 @@ def youden(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFra
 
 def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
     """The column moved to [0, 1]; 0 where all values are equal."""
-    w = Window.partitionBy()
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return df.withColumn(out, F.when(high > low, (F.col(column) - low) / (high - low)).otherwise(F.lit(0.0)))
+    d = with_totals(df, _low=F.min(column), _high=F.max(column))
+    scaled = F.when(F.col("_high") > F.col("_low"), (F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))
+    return d.withColumn(out, scaled).drop("_low", "_high")
 
 
 def report(nodes: DataFrame, verified: DataFrame, truth: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.operators import graph
+from filigree.operators.ranks import numbered, running, with_totals
 from filigree.registry import SAMPLERS
 from filigree.session import materialise
 
@@ -40,8 +41,8 @@ def down_sample(candidates: DataFrame, group: list[str], key: str, ratio: float
 
 def choose_graphs(graphs: DataFrame, n: int, seed: int = 42, parts: int = 4096) -> DataFrame:
     """``draw, graph_id``: ``n`` draws of a graph with a probability that follows ``num_nodes``: a range lookup in the running sum."""
-    total = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = graphs.withColumn("upto", F.sum("num_nodes").over(total)).withColumn("all", F.sum("num_nodes").over(Window.partitionBy()))
+    upto = running(graphs, ["graph_id"], F.col("num_nodes"), "before", "graphs").withColumn("upto", F.col("before") + F.col("num_nodes")).drop("before")
+    upto = with_totals(upto, all=F.sum("num_nodes"))
     draws = graphs.sparkSession.range(n).select(F.col("id").alias("draw"))
     u = F.conv(F.substring(order_of(seed, "graph", "draw"), 1, 12), 16, 10).cast("double") / float(16**12)
     # Graphs and draws meet by stretches of the running sum, so neither is held whole anywhere.
@@ -76,7 +77,7 @@ def grow(starts: DataFrame, edges: DataFrame, size: str, most: int, seed: int =
 def _starts(nodes: DataFrame, n: int, low: int, high: int, seed: int) -> DataFrame:
     """``nb, anchor, size``: ``n`` anchors, in turns over all nodes in order of their hash, and sizes spread over [low, high]."""
     count = max(1, nodes.count())
-    ranked = nodes.withColumn("k", F.row_number().over(Window.orderBy(order_of(seed, "start", "node"), "node")) - 1)
+    ranked = numbered(nodes.select("node").withColumn("h", order_of(seed, "start", "node")), ["h", "node"], "k", "starts")
     turns = nodes.sparkSession.range(n).select(F.col("id").alias("nb"), (F.col("id") % count).alias("j"))
     out = turns.join(ranked, F.col("j") == F.col("k")).select("nb", F.col("node").alias("anchor"))
     return out.withColumn("size", (F.pmod(F.conv(F.substring(order_of(seed, "size", "nb"), 1, 8), 16, 10).cast("long"), F.lit(high - low + 1)) + low).cast("int"))
@@ -122,8 +123,8 @@ SAMPLERS.register("radial_fast")(radial)
 
 def batches(nodes: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """``node, batch``: nodes in hash order cut into batches; for reports, as all starts are searched at once."""
-    rank = F.row_number().over(Window.orderBy(order_of(seed, "batch", "node"), "node")) - 1
-    return nodes.select("node", F.floor(rank / size).cast("long").alias("batch"))
+    ranked = numbered(nodes.select("node").withColumn("h", order_of(seed, "batch", "node")), ["h", "node"], "k", "batches")
+    return ranked.select("node", F.floor(F.col("k") / size).cast("long").alias("batch"))
 
 
 def uniform(seed: int, *keys: object) -> float:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from filigree.functions import scoring
 from filigree.operators import contain, graph, sampling
 from filigree.registry import CALLBACKS, SCORERS, SEARCHES
-from filigree.session import materialise
+from filigree.session import materialise, remove
 
 BEAM = "start long, beam string, neigh array<long>, size int, freq double, weight double, score double, last_score double, unchange int, original boolean, density double, gradient double, history array<struct<size:int,freq:double>>"
 
@@ -72,10 +72,11 @@ def grown(beams: DataFrame, cands: DataFrame) -> DataFrame:
     return g.withColumn("last_score", F.col("score")).withColumn("neigh", neigh).withColumn("beam", F.concat_ws(",", F.col("beam"), F.col("added").cast("string"))).withColumn("size", F.size("neigh")).drop("added")
 
 
-def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False, n_refs: int | None = None) -> DataFrame:
+def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False, n_refs: int | None = None, used: list | None = None) -> DataFrame:
     """Beams with frequency, weight, score and what the score needs, measured against ``refs`` (``nb, emb`` and, if ``known``, ``freq``).
 
     Embedding and density come from the same counts, so the induced subgraphs are joined once.
+    ``used`` gets the tables that can go when the result has been written.
     """
     beams = materialise(beams, "search-grown")
     n_refs = refs.count() if n_refs is None else n_refs
@@ -83,7 +84,9 @@ def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchCo
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     density = F.when(F.col("n_nodes") < 2, 0.0).otherwise(F.col("n_edges") / pairs).cast("double")
     shape = materialise(counts.select(F.col("nb").alias("q_beam"), F.xxhash64("nb").alias("qid"), contain.as_embedding().alias("emb"), density.alias("new_density")), "search-shape")
-    hits = contain.containment_counts(shape, refs, config.tau, query_id="qid", ref_id="nb", ref_freq="freq" if known else None, sizes=(beams.count(), n_refs))
+    hits = contain.containment_counts(shape, refs, config.tau, query_id="qid", ref_id="nb", ref_freq="freq" if known else None)
+    if used is not None:
+        used += [beams, shape]
     if known:
         freqs = contain.lower_bounded(hits, n_refs, config.max_strength)
     else:
@@ -195,12 +198,18 @@ def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConf
     done = spark.createDataFrame([], BEAM)
     votes: DataFrame | None = None
     tell = [CALLBACKS.build(c) if isinstance(c, str) else c for c in config.callbacks]
+    for t in tell:
+        t.fire("on_search_start", starts=beams, config=config)
+    made = [e, refs, beams]
     for step in range(max(1, config.min_subgraph_size), config.max_steps):
         c = candidates(beams, e, config.sample_random_cands, config.max_cands, config.seed + step)
-        now = materialise(scored(grown(beams, c), e, refs, config, num_nodes, known, n_refs), "search-scored")
-        now = prune(now, config.min_strength, config.max_strength, config.max_unchanged)
+        used: list[DataFrame] = []
+        step_scores = materialise(scored(grown(beams, c), e, refs, config, num_nodes, known, n_refs, used), "search-scored")
+        now = prune(step_scores, config.min_strength, config.max_strength, config.max_unchanged)
         kept = keep_tied(now, votes, config.n_beams) if config.use_votes else keep_top(now, config.n_beams, config.freq_drop_weight)
         kept = materialise(kept, "search-kept")
+        remove(step_scores, *used)
+        made.append(kept)
         new = verified(kept, config.min_strength, config.max_strength)
         if step + 1 >= config.min_steps or config.keep_early:
             done = done.unionByName(new)
@@ -217,6 +226,7 @@ def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConf
         if beams.isEmpty():
             break
     out = materialise(first_by_anchor(done), "search-verified")
+    remove(*made)
     for t in tell:
         t.fire("on_search_end", beams=out)
     return out

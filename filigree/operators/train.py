@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators import contain, generate, metrics
-from filigree.registry import EMBEDDERS
+from filigree.registry import CALLBACKS, EMBEDDERS
 
 
 def hinge_loss(pairs: DataFrame, margin: float = 0.1, e: str = "violation", label: str = "label") -> DataFrame:
@@ -81,8 +81,14 @@ class Head:
         return cls(np.load(path)["weights"])
 
 
-def train(spark: SparkSession, n_pairs: int = 2000, output: int = 16, rounds: int = 200, margin: float = 0.1, lr: float = 0.05, eval_interval: int = 20, clip: float = 1.0, path: str | None = None, seed: int = 42, **options) -> tuple[Head, list[dict]]:
-    """A head and its history: Adam on the softplus loss, validated on a fifth of the pairs, the best by area under the curve kept (and saved)."""
+def train(spark: SparkSession, n_pairs: int = 2000, output: int = 16, rounds: int = 200, margin: float = 0.1, lr: float = 0.05, eval_interval: int = 20, clip: float = 1.0, path: str | None = None, seed: int = 42, callbacks: list = (), **options) -> tuple[Head, list[dict]]:
+    """A head and its history: Adam on the softplus loss, validated on a fifth of the pairs, the best by area under the curve kept (and saved).
+
+    ``callbacks`` are told of the start, every round with its head, every validation, and the end.
+    """
+    tell = [CALLBACKS.build(c) if isinstance(c, str) else c for c in callbacks]
+    for t in tell:
+        t.fire("on_training_start", n_pairs=n_pairs, rounds=rounds)
     rows = pair_features(generate.pairs(spark, n_pairs, seed=seed, **options)).orderBy("pair_id").collect()  # n_pairs rows
     q, r = (np.array([x[c] for x in rows], float) for c in ("q_emb", "r_emb"))
     y = np.array([x["label"] for x in rows])
@@ -99,16 +105,22 @@ def train(spark: SparkSession, n_pairs: int = 2000, output: int = 16, rounds: in
         grad *= min(1.0, clip / (np.linalg.norm(grad) + 1e-12))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = np.maximum(w - lr * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9), 0)
+        for t in tell:
+            t.fire("on_training_step", round=k, head=Head(w))
         if k % eval_interval == 0 or k == rounds:
             e = (np.maximum(d[test] @ w.T, 0) ** 2).sum(1)
             a, b = e[y[test] == 1], e[y[test] == 0]
             auc = float(((a[:, None] < b).mean() + 0.5 * (a[:, None] == b).mean())) if len(a) and len(b) else 0.5
             loss = float((a.mean() if len(a) else 0) + (np.log1p(np.exp(margin - b)).mean() if len(b) else 0))
             history.append({"round": k, "auc": auc, "loss": loss})
+            for t in tell:
+                t.fire("on_validation", **history[-1])
             if auc > best[0]:
                 best = (auc, w.copy())
                 if path:
                     Head(w).save(path)
+    for t in tell:
+        t.fire("on_training_end", head=Head(best[1]), history=history)
     return Head(best[1]), history
 
 

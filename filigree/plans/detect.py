@@ -55,7 +55,7 @@ def run(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
     nodes, edges = load(spark, config)
     n = nodes.count()
     members = materialise(sample(nodes, edges, config), "members")
-    embs = files.kept(spark, "embeddings", config, lambda: embed(members, edges, config))
+    embs = files.kept(spark, "embeddings", config, lambda: embed(members, edges, config), of=config.dataset.path)
     s = config.search
     limit = s.max_freq
     if s.calibrate:
@@ -92,7 +92,7 @@ def calibrate_only(spark: SparkSession, config: Config) -> DataFrame:
 
 def train_only(spark: SparkSession, config: Config) -> tuple[train.Head, list[dict]]:
     t = config.training
-    return train.train(spark, t.n_pairs, rounds=t.rounds, margin=config.model.margin, lr=t.lr, eval_interval=t.eval_interval, path=config.model.checkpoint, seed=config.seed, hard_ratio=t.hard_neg_ratio)
+    return train.train(spark, t.n_pairs, rounds=t.rounds, margin=config.model.margin, lr=t.lr, eval_interval=t.eval_interval, path=config.model.checkpoint, seed=config.seed, hard_ratio=t.hard_neg_ratio, callbacks=config.callbacks)
 
 
 __all__ = ["calibrate_only", "embed", "load", "run", "sample", "sampling", "starts", "train_only"]

@@ -372,13 +372,30 @@ def node_batches(spark, sf):
     return sampling.batches(base(spark, sf)[0], 100)
 
 
-@query()
+def _tree_sql(multiset: bool, low: int = 2, high: int = 6, n: int = 200) -> str:
+    """Growth step by step, as many tables as steps."""
+    key = ", m.nb::VARCHAR, e.dst::VARCHAR" + (", e.src::VARCHAR" if multiset else "")
+    sql = (
+        GRAPH
+        + f""", ranked AS (SELECT node, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'start', node::VARCHAR)), node) - 1 AS k FROM nodes),
+    m0 AS (SELECT range AS nb, node AS anchor, node, 0 AS step, ('0x' || substr(md5(concat_ws('|', '42', 'size', range::VARCHAR)), 1, 8))::BIGINT % {high - low + 1} + {low} AS size
+        FROM range({n}) JOIN ranked ON k = range % (SELECT count(*) FROM nodes))"""
+    )
+    for k in range(1, high):
+        sql += f""",
+    p{k} AS (SELECT m.nb, m.anchor, m.size, min({{'h': md5(concat_ws('|', '42', 'grow{k}'{key})), 'to': e.dst}}) AS p FROM m{k - 1} m JOIN edges e ON m.node = e.src
+        WHERE m.size > {k} AND NOT EXISTS (SELECT 1 FROM m{k - 1} o WHERE o.nb = m.nb AND o.node = e.dst) GROUP BY ALL),
+    m{k} AS (SELECT * FROM m{k - 1} UNION ALL SELECT nb, anchor, p['to'], {k}, size FROM p{k})"""
+    return sql + f" SELECT nb, anchor, node, step FROM m{high - 1} QUALIFY count(*) OVER (PARTITION BY nb) = size"
+
+
+@query(_tree_sql(False))
 def tree_sample(spark, sf):
     nodes, edges = base(spark, sf)
     return sampling.tree(nodes, edges, n_neighborhoods=200, min_size=2, max_size=6)
 
 
-@query()
+@query(_tree_sql(True))
 def tree_fast_sample(spark, sf):
     nodes, edges = base(spark, sf)
     return sampling.tree_fast(nodes, edges, n_neighborhoods=200, min_size=2, max_size=6)
@@ -837,9 +854,19 @@ def classifier_loss(spark, sf):
     return train.classifier_loss(_loss_pairs(spark, sf), (1.0, -2.0), (0.1, 0.7)).withColumn("loss", F.round("loss", 6))
 
 
-@query()
+@query(
+    LOSS
+    + """, s AS (SELECT (e < 0.9)::INT AS pred, y, -e AS score FROM p),
+    c AS (SELECT count(*) FILTER (pred = 1 AND y = 1) AS tp, count(*) FILTER (pred = 1 AND y = 0) AS fp, count(*) FILTER (pred = 0 AND y = 0) AS tn, count(*) FILTER (pred = 0 AND y = 1) AS fn,
+        avg(pred) FILTER (y = 1) AS a, avg(1 - pred) FILTER (y = 0) AS b FROM s),
+    r AS (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY score),
+    u AS (SELECT p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS tall, sum(n) OVER () AS fall FROM r WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT sum(n / fall::DOUBLE * (tp + tp - p) / tall::DOUBLE / 2) AS auroc FROM u)
+    SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn)::DOUBLE, 9) AS accuracy, round(tp / nullif(tp + fp, 0)::DOUBLE, 9) AS "precision", round(tp / nullif(tp + fn, 0)::DOUBLE, 9) AS recall,
+        round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 9) AS f1, round(a, 9) AS pos_accuracy, round(b, 9) AS neg_accuracy, round(auroc, 9) AS auroc FROM c, g"""
+)
 def validation_metrics(spark, sf):
-    return train.validation(_loss_pairs(spark, sf), 0.9)
+    return train.validation(_loss_pairs(spark, sf), 0.9).withColumns({c: F.round(c, 9) for c in ("accuracy", "precision", "recall", "f1", "pos_accuracy", "neg_accuracy", "auroc")})
 
 
 @query()

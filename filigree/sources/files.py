@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def kept(spark: SparkSession, what: str, config: Config, made: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``what`` of these settings: read if it has been written whole, else made and written."""
-    path = f"{shared_dir(spark)}/kept/{config.key()}/{what}"
+def state_of(spark: SparkSession, path: str) -> str:
+    """A hash of the names, sizes and times of all files under ``path``; of nothing if it isn't there."""
+    found, p = [], spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if path and system.exists(p):
+        files = system.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(repr(sorted(found)).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, what: str, config: Config, made: Callable[[], DataFrame], of: str | None = None) -> DataFrame:
+    """The table ``what`` of these settings, and of the files under ``of`` as they are now: read if it has been written whole, else made and written."""
+    path = f"{shared_dir(spark)}/kept/{config.key()}{'-' + state_of(spark, of) if of else ''}/{what}"
     if not exists(spark, f"{path}/_SUCCESS"):
         made().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

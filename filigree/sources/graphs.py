@@ -5,10 +5,11 @@ A source gives ``(nodes, edges)``: ``nodes(node, y)``, ``edges(src, dst)`` in bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.operators import graph, sampling
+from filigree.operators.ranks import running
 from filigree.registry import SOURCES
 
 Graph = tuple[DataFrame, DataFrame]
@@ -65,8 +66,7 @@ def choose_class(graphs: DataFrame, anomaly_class: int, n: int, seed: int = 42)
 
 def union_graph(graphs: DataFrame, edges: DataFrame) -> Graph:
     """A disjoint union; nodes carry their graph's ``y``."""
-    before = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
-    moved = graphs.withColumn("offset", F.coalesce(F.sum("num_nodes").over(before), F.lit(0)))
+    moved = running(graphs, ["graph_id"], F.col("num_nodes"), "offset", "offsets")
     nodes = moved.select(F.col("y"), F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("num_nodes") - 1)).alias("node"))
     return marked(nodes, graph.offset_union(graphs, edges))
 

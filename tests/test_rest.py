@@ -159,3 +159,134 @@ def test_whole_graph_has_pairs_of_one_order(spark, tmp_path):
     assert pairs("edges_undirected_whole") == [(1, 2), (2, 1), (2, 3), (3, 2)]
     assert pairs("edges_undirected") == [(1, 2), (2, 1)]
     assert sorted((r.node, r.degree) for r in QUERIES["degree_whole"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_checkpoint_is_written_in_training(spark, tmp_path):
+    """All hooks of a training are fired, and the callback saves a head that loads."""
+    from filigree.operators import train
+    from filigree.plans.callbacks import Callback, Checkpoint
+
+    seen = []
+
+    class Told(Callback):
+        def on_training_start(self, **what):
+            seen.append("start")
+
+        def on_training_step(self, round, **what):
+            seen.append(round)
+
+        def on_validation(self, auc, **what):
+            seen.append("validation")
+
+        def on_training_end(self, head, **what):
+            seen.append("end")
+
+    path = f"{tmp_path}/head.npz"
+    head, history = train.train(spark, 40, rounds=6, eval_interval=3, callbacks=[Checkpoint(path, every=2), Told()])
+    assert seen == ["start", 1, 2, 3, "validation", 4, 5, 6, "validation", "end"] and len(history) == 2
+    assert train.Head.load(path).weights.shape == head.weights.shape
+
+
+def test_search_tells_its_start_and_removes_its_tables(spark):
+    from filigree import session
+    from filigree.operators import contain, graph, search
+    from filigree.plans.callbacks import Callback
+
+    seen = []
+
+    class Told(Callback):
+        def on_search_start(self, starts, **what):
+            seen.append(starts.count())
+
+        def on_search_end(self, beams, **what):
+            seen.append("end")
+
+    edges = graph.undirected(spark.createDataFrame([(i, (i * 7 + 1) % 20) for i in range(20)] + [(i, i + 1) for i in range(19)], "src long, dst long"))
+    nodes = graph.nodes_of(edges)
+    members = graph.khop(edges, nodes, 1).selectExpr("nb", "nb anchor", "node")
+    embs = contain.structural_embedding(members, edges)
+    before = len(session._made)
+    out = search.run(nodes.limit(3), edges, embs.select("nb", "emb"), search.SearchConfig(max_strength=0.9, max_steps=3, callbacks=[Told()]), 20)
+    assert seen == [3, "end"] and out.count() >= 0
+    assert not [p for p in session._made[before:] if "search-" in p and "search-verified" not in p]
+
+
+def test_kept_tables_follow_their_data(spark, tmp_path):
+    from filigree.config import Config
+    from filigree.sources import files
+
+    made = []
+
+    def table():
+        made.append(1)
+        return spark.range(len(made))
+
+    place = f"{tmp_path}/data"
+    for want in (1, 1, 2):
+        if want == 2 or not made:
+            spark.range(want).write.mode("overwrite").parquet(place)
+        assert files.kept(spark, "t", Config(seed=77), table, of=place).count() == want
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from filigree import session
+
+    conf = {}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        fake.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(fake)
+    fake.sparkContext.master = "local[4]"
+    assert session.shared_dir(fake).startswith("file:") and conf
+
+
+def test_dominance_tree_counts_like_brute_force():
+    import numpy as np
+
+    from filigree.operators import contain
+
+    rng = np.random.default_rng(4)
+    for d, high in ((2, 4), (5, 3), (8, 9)):
+        x, y = rng.integers(0, high, (150, d)).astype(float), rng.integers(0, high, (900, d)).astype(float)
+        weight, f = rng.integers(1, 5, 900), rng.random(900)
+        for tau in (1e-9, 1.5):
+            hit = (np.maximum(x[:, None] - y, 0) ** 2).sum(2) < tau
+            n, best = contain.dominated(x, y, weight, f, tau, leaf=16)
+            assert (n == hit @ weight).all() and np.array_equal(best, np.where(hit, f, -np.inf).max(1))
+
+
+def test_containment_in_many_blocks(spark):
+    """Blocks that settle a pair by their corners give the same as one block; nulls take no part, equal rows count."""
+    import random
+
+    from filigree.operators import contain
+
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(0, 6)) for _ in range(3)], rng.random()) for i in range(400)] + [(1000, None, 0.5), (None, [0.0, 0.0, 0.0], 0.1)]
+    d = spark.createDataFrame(rows, "i long, emb array<double>, f double")
+    got = [contain.containment_counts(d, d, 1e-9, query_id="i", ref_id="i", ref_freq="f", query_block=a, ref_block=b).collect() for a, b in ((2048, 16_384), (30, 40))]
+    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == 400
+    for r in got[0][:50]:
+        q = rows[r.qid][1]
+        inside = [x for x in rows if x[1] and all(a <= b for a, b in zip(q, x[1], strict=True))]
+        assert r.n_contained == len(inside) and r.max_freq == max(x[2] for x in inside)
+    assert contain.containment_counts(d.filter("false"), d, 1e-9, query_id="i", ref_id="i").count() == 0
+    assert {r.n_contained for r in contain.containment_counts(d, d.filter("false"), 1e-9, query_id="i", ref_id="i").collect()} == {0}
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from filigree.operators import ranks
+
+    rows = [((i * 37) % 101, i % 5) for i in range(101)]
+    d = spark.createDataFrame(rows, "k long, x long")
+    want, at = {}, 0
+    for k, x in sorted(rows, reverse=True):
+        want[k], at = at, at + x
+    assert {r.k: r.s for r in ranks.running(d, [F.desc("k")], F.col("x"), "s").collect()} == want
+    assert sorted(r.n for r in ranks.numbered(d, ["k"], "n").collect()) == list(range(101))
+    assert ranks.running(d.filter("false"), ["k"], F.col("x"), "s").count() == 0
