@@ -75,14 +75,15 @@ def repeated_runs(docs: DataFrame, least: int, place: Column, id_col: str, text_
     stands = F.struct("id", "mark", "at")
     shared = every.groupBy(F.col("fp").alias("s_fp")).agg(F.min(stands).alias("low"), F.max(stands).alias("high")).filter(F.col("low") < F.col("high")).select("s_fp")
     # Written, so that both sides of the join are plain tables, which Spark can split at a frequent hash; the same below.
-    shared = materialise(shared, "lines-shared")
+    # Both tables grow with the documents, so neither is broadcast at any size.
+    shared = materialise(shared, "lines-shared").hint("merge")
     near = every.join(shared, F.col("fp") == F.col("s_fp"), "left_semi").select("id", "mark", F.explode("reach").alias("w")).select("id", "mark", "w.*")
     near = materialise(near, "lines-windows")
     here = F.struct("id", "first")
     origin = near.groupBy(F.col("content").alias("o_content")).agg(F.min(here).alias("origin"), F.max(here).alias("latest")).filter(F.col("origin") < F.col("latest")).drop("latest")
-    origin = materialise(origin, "lines-origins")
+    origin = materialise(origin, "lines-origins").hint("merge")
     later = near.join(origin, F.col("content") == F.col("o_content")).filter(here > F.col("origin"))
-    return materialise(later.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "lines-runs")
+    return later.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
