@@ -131,7 +131,7 @@ def shard_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 #: A minimiser that stands oftener in some documents is counted by its different stretches.
-OFTEN = 8
+OFTEN = 1
 
 
 def ask_keys(parts: list[tuple], shards: int, length: int) -> Iterator[tuple]:
