@@ -212,6 +212,8 @@ def fingerprint_text(fp: Column) -> Column:
 # Near copies by their similarity, for wider radii than blocks of bits can prove.
 
 WORDS64 = 4
+#: Texts of so many shingles or fewer are also compared by the shingles themselves (`short_links`).
+SHORT = 20
 #: Odd multipliers that make independent hashes of one. Fixed values.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -248,16 +250,18 @@ def wide_simhash(hashes: np.ndarray) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, node, fp, size``: a hash of the whole text, its 256 bits, and the number of its shingles."""
+    """``doc_id, node, fp, size, short``: a hash of the whole text, its 256 bits, the number of its shingles, and their hashes if they are few."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text_col).alias("node"), utf8(text_col).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
             hashes = [shingle_hashes(b.as_py(), shingle) for b in batch.column(2)]
             fp, size = [wide_simhash(h) for h in hashes], [len(h) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary()), pa.array(size, pa.int32())], names=["doc_id", "node", "fp", "size"])
+            short = [h.view(np.int64) if 0 < len(h) <= SHORT else None for h in hashes]
+            made = [pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(short, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "node", "fp", "size", "short"])
 
-    return through(d, "doc_id long, node long, fp binary, size int", run)
+    return through(d, "doc_id long, node long, fp binary, size int, short array<long>", run)
 
 
 def node_of(text_col: str) -> Column:
@@ -479,6 +483,74 @@ def _crossing(rows: list[np.ndarray], radius: int, similarity: float, orders: li
                     yield from near(np.full(len(j), i), j, values, at)
 
 
+def short_links(nodes: DataFrame, similarity: float, most: int = 1024) -> DataFrame:
+    """``a, b``: all pairs of nodes of different groups whose ``short`` sets have the similarity; a pair can come more than once.
+
+    ``nodes``: ``node, group, short``. Few shingles make few different bits, so a fingerprint says little about such texts.
+    Two sets of that similarity share one of the rarest ``n - ceil(similarity * n) + 1`` shingles of each, so those are
+    the shards, and every pair in a shard is compared: shards over ``most`` nodes block against block (`cells`).
+    """
+    sets = nodes.filter(F.col("short").isNotNull()).select("node", "group", "short")
+    places = materialise(sets.select("node", F.explode("short").alias("h")), "simhash-short")
+    # Written, so that both sides of the join are plain tables, which Spark can split at a frequent shingle.
+    often = places.groupBy(F.col("h").alias("o_h")).agg(F.count("*").alias("often")).filter(F.col("often") > 1)
+    often = materialise(often, "simhash-often")
+    ranked = places.join(often.hint("merge"), F.col("h") == F.col("o_h"), "left").groupBy(F.col("node").alias("r_node"))
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "h"))).alias("rare"))
+    n = F.size("rare")
+    first = F.slice("rare", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    ranked = ranked.select("r_node", F.explode(F.filter(first, lambda x: x["often"] > 1)).alias("x"))
+    dealt = materialise(sets.join(ranked, F.col("node") == F.col("r_node")).select(F.col("x.h").alias("shard"), "node", "group", "short"), "simhash-rare")
+    remove(places, often)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, full = 0, 1 << 15
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= full:
+                rows = pa.concat_batches(held)
+                cut = int(_short_cuts(rows)[-1])  # the last cell goes on in the next batch
+                if cut:
+                    yield from _short_pairs(rows.slice(0, cut), similarity)
+                held, size = [rows.slice(cut)], rows.num_rows - cut
+                full = max(1 << 15, 2 * size)
+        if size:
+            yield from _short_pairs(pa.concat_batches(held), similarity)
+
+    rows = cells(dealt, most).select("shard", "i", "j", "own", "node", "group", "short")
+    return through(rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "group"), "a long, b long", search)
+
+
+def _short_cuts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where cells begin."""
+    keys = [np.asarray(rows.column(k)) for k in range(3)]
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+
+
+def _short_pairs(rows: pa.RecordBatch, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole cells, sorted by cell and group."""
+    low, high, own, node, group = (np.asarray(rows.column(k)) for k in range(1, 6))
+    size = np.asarray(rows.column(6).value_lengths()).astype(np.int64)
+    words, at = np.unique(np.asarray(rows.column(6).flatten()), return_inverse=True)
+    ends, has = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(words), bool)
+    cuts = _short_cuts(rows)
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), rows.num_rows], strict=True):
+        if group[s] == group[e - 1]:
+            continue
+        for i in range(s, e - 1):
+            mine = at[ends[i] : ends[i + 1]]
+            has[mine] = True
+            both = np.add.reduceat(has[at[ends[i + 1] : ends[e]]], ends[i + 1 : e] - ends[i + 1], dtype=np.int64)
+            has[mine] = False
+            j = slice(i + 1, e)
+            ok = (both >= similarity * (size[i] + size[j] - both)) & (group[j] != group[i]) & ((own[j] != own[i]) | (low[i] == high[i]))
+            if ok.any():
+                other = node[j][ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, node[i])), pa.array(np.minimum(other, node[i]))], names=["a", "b"])
+
+
 def verified(links: DataFrame, texts: DataFrame, shingle: int, similarity: float, block_bytes: int = 8 << 20) -> DataFrame:
     """The links between texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -547,13 +619,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One row for each different text (`node_of`). Near copies: a Jaccard similarity of ``similarity`` or more between
     the sets of shingles of lower-cased words. Candidates are found by 256-bit SimHash fingerprints, and every one is
     verified on whole texts: first the nearest in each shard (`nearest_links`), and then all pairs within ``radius`` in a
-    shard that are not in one group by then (`crossing_links`). ``radius`` lies three deviations over what
+    shard that are not in one group by then (`crossing_links`). Texts of up to 20 shingles are compared exactly beside
+    that, by shared rare shingles (`short_links`). ``radius`` lies three deviations over what
     the similarity makes expect, and ``turns`` of 16 shards each let 997 of 1000 pairs at exactly 0.8 meet, and
     more above it. All texts without words are one group. Null ids take part; ``first`` is null
     where a group has no other.
     """
     base = materialise(wide_fingerprints(docs, id_col, text_col, shingle), "simhash-wide")
-    nodes = materialise(base.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.min("size").alias("size")), "simhash-nodes")
+    nodes = materialise(base.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), F.min("size").alias("size"), F.min("short").alias("short")), "simhash-nodes")
 
     def check(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("e")).union(links.select(F.col("b").alias("e"))).distinct()
@@ -566,13 +639,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         linked = components(sure, "simhash-similar").withColumnRenamed("node", "l_node")
         return nodes.join(linked, F.col("node") == F.col("l_node"), "left").withColumn("group", F.coalesce("root", "node"))
 
-    near = materialise(nearest_links(nodes, radius, turns), "simhash-near")
+    near = materialise(nearest_links(nodes.select("node", "fp"), radius, turns), "simhash-near")
     sure = check(near)
-    by_near = materialise(grouped(sure).select("node", "fp", "size", "group"), "simhash-by-near")
-    rest = materialise(crossing_links(by_near, radius, turns, similarity), "simhash-crossing")
+    by_near = materialise(grouped(sure).select("node", "fp", "size", "short", "group"), "simhash-by-near")
+    few = materialise(short_links(by_near, similarity), "simhash-few")
+    rest = materialise(crossing_links(by_near.drop("short"), radius, turns, similarity), "simhash-crossing")
     more = check(rest)
-    found = materialise(grouped(sure.union(more)).select("node", "first", "group"), "simhash-groups")
-    remove(base, nodes, near, sure, by_near, rest, more)
+    found = materialise(grouped(sure.union(more).union(few)).select("node", "first", "group"), "simhash-groups")
+    remove(base, nodes, near, sure, by_near, few, rest, more)
     least = found.groupBy(F.col("group").alias("g")).agg(F.min("first").alias("least"))
     return found.join(least, F.col("group") == F.col("g")).select("node", "group", F.col("least").alias("first"))
 

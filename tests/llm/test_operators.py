@@ -150,6 +150,38 @@ def test_similar_groups_among_templates(spark):
     assert len(got) == len(made) - len(planted)
 
 
+def test_similar_groups_of_short_texts(spark):
+    """Every pair of few shingles is found, also among texts that share their most frequent ones."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    texts = []
+    for k in range(400):  # 0.8 exactly: four of five shingles, eight of ten, or nine of ten and one other
+        first = [word() for _ in range((9, 14, 14, 24)[k % 4])]
+        texts += [first, first[: len(first) - (1, 2, 1, 4)[k % 4]] + ([word()] if k % 4 == 2 else [])]
+    texts += [["a", "common", "line", "of", "six", "words", *(word() for _ in range(rng.randint(0, 9)))] for _ in range(300)]
+    made = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    sets = [set(brute.shingles(t[1], 5)) for t in made]
+    want = brute.groups(len(sets), lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
+    got = {r.first: r.group for r in simhash.similar_groups(spark.createDataFrame(made, DOCS)).collect()}
+    assert len({want[2 * k] for k in range(400)}) == 400 and sum(want[2 * k] == want[2 * k + 1] for k in range(400)) >= 300
+    # One row a different text; a group's first is its smallest id.
+    least = {}
+    for i, r in enumerate(want):
+        least[r] = min(least.get(r, i), i)
+    assert set(got) == set(least.values())
+
+
+def test_short_links_in_hot_cells(spark):
+    """Blocks of a hot shingle meet block against block, with the same pairs as a plain loop."""
+    rng = random.Random(6)
+    sets = [sorted({1, 2, *rng.sample(range(3, 14), rng.randint(1, 6))}) for _ in range(200)]
+    nodes = spark.createDataFrame([(i, i % 150, s) for i, s in enumerate(sets)], "node long, group long, short array<long>")
+    want = {(a, b) for a in range(200) for b in range(a) if a % 150 != b % 150 and brute.jaccard(set(sets[a]), set(sets[b])) >= 0.8}
+    for most in (16, 1024):
+        assert {(r.a, r.b) for r in simhash.short_links(nodes, 0.8, most).collect()} == want
+    assert simhash.short_links(nodes.limit(0), 0.8).count() == 0
+
+
 def hot_shard(n: int = 5000, planted: int = 200) -> list[bytes]:
     """Fingerprints that share the 16 bits of one shard, and near copies of the first of them, anywhere in their order."""
     rng = np.random.default_rng(13)
