@@ -59,7 +59,7 @@ def grow(starts: DataFrame, edges: DataFrame, size: str, most: int, seed: int =
     A step adds one node of the frontier: each equally likely, or, as a ``multiset``, as likely as it has links into the set.
     A set that has no frontier any more stays smaller. ``starts``: ``nb, anchor`` and the column ``size``.
     """
-    todo = starts.select("nb", "anchor", F.col(size).alias("size"))
+    todo = materialise(starts.select("nb", "anchor", F.col(size).alias("size")), "grow")
     members = todo.select("nb", "anchor", F.col("anchor").alias("node"), F.lit(0).alias("step"), "size")
     for k in range(1, most):
         open_ = members.filter(F.col("size") > k)
@@ -68,9 +68,8 @@ def grow(starts: DataFrame, edges: DataFrame, size: str, most: int, seed: int =
         links = links.join(taken, (F.col("nb") == F.col("t_nb")) & (F.col("to") == F.col("t_node")), "left_anti")
         h = order_of(seed, f"grow{k}", "nb", "to", *(["src"] if multiset else []))
         pick = links.groupBy("nb", "anchor", "size").agg(F.min(F.struct(h.alias("h"), F.col("to"))).alias("p"))
-        members = members.unionByName(pick.select("nb", "anchor", F.col("p.to").alias("node"), F.lit(k).alias("step"), "size"))
-        if k % 4 == 0:
-            members = materialise(members, "grow")
+        # Each step is written alone, and the sets so far are the tables of all steps.
+        members = members.unionByName(materialise(pick.select("nb", "anchor", F.col("p.to").alias("node"), F.lit(k).alias("step"), "size"), "grow"))
     return members
 
 

@@ -182,9 +182,9 @@ def adjacency_list(spark, sf):
     return graph.adjacency(base(spark, sf)[1]).select("node", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"))
 
 
-@query(GRAPH + " SELECT node, dst AS nbr FROM part JOIN nodes ON node = p_partkey JOIN edges ON src = node WHERE p_size <= 10")
+@query(GRAPH + " SELECT node, dst AS nbr FROM part JOIN nodes ON node = p_partkey JOIN edges ON src = node")
 def neighbours(spark, sf):
-    of = table(spark, sf, "part").filter(F.col("p_size") <= 10).select(F.col("p_partkey").alias("node"))
+    of = table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
     nodes, edges = base(spark, sf)
     return graph.neighbours(edges, of.join(nodes, "node", "left_semi"))
 
@@ -401,6 +401,16 @@ def tree_fast_sample(spark, sf):
     return sampling.tree_fast(nodes, edges, n_neighborhoods=200, min_size=2, max_size=6)
 
 
+@query()
+def tree_sample_default(spark, sf):
+    return sampling.tree(*base(spark, sf))
+
+
+@query()
+def tree_fast_sample_default(spark, sf):
+    return sampling.tree_fast(*base(spark, sf))
+
+
 @query(
     GRAPH
     + """, f AS (SELECT src AS nb, dst, md5(concat_ws('|', '42', 'grow1', src::VARCHAR, dst::VARCHAR)) AS h FROM edges)
