@@ -23,8 +23,13 @@ def utf8(column: str) -> Column:
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Arrow batches of about ``size`` bytes, whatever the length of texts."""
+    """Arrow batches of about ``size`` bytes, and scans of 512 rows at a time, whatever the length of texts.
+
+    A scan holds the texts of all its rows at a time in one array of the JVM. Both are settings of the session, and stay: the
+    scan of a DataFrame is planned when it is run, after this returns.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def through(df: DataFrame, schema: StructType | str, *steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
