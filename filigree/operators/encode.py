@@ -55,18 +55,57 @@ def graph_conv(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, name
     return linear(gather(x, src, dst), w, f"{name}.lin") + linear(x, w, f"{name}.root")
 
 
-def forward(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, n_layers: int, conv: str = "SAGE") -> np.ndarray:
-    """Embedding of one graph."""
+@CONVOLUTIONS.register("GAT")
+def gat(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, name: str) -> np.ndarray:
+    """One attention head; a node attends to itself too."""
+    keep = src != dst
+    s, d = np.append(src[keep], np.arange(len(x))), np.append(dst[keep], np.arange(len(x)))
+    h = x @ w[f"{name}.lin.weight"].T
+    raw = (h @ w[f"{name}.att_src"])[s] + (h @ w[f"{name}.att_dst"])[d]
+    raw = np.where(raw > 0, raw, 0.2 * raw)
+    top = np.full(len(x), -np.inf)
+    np.maximum.at(top, d, raw)
+    share, out = np.exp(raw - top[d]), np.zeros_like(h)
+    share /= np.bincount(d, share, len(x))[d]
+    np.add.at(out, d, share[:, None] * h[s])
+    return out + w[f"{name}.lin.bias"]
+
+
+@CONVOLUTIONS.register("gated")
+def gated(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, name: str) -> np.ndarray:
+    """One step of a gated recurrent unit, whose state is ``x`` and whose input is the neighbours' sum."""
+    weight = w[f"{name}.weight"]
+    if x.shape[1] > len(weight):
+        raise ValueError(f"gated convolutions take {len(weight)} features at most, not {x.shape[1]}: use skip='none'")
+    x = np.pad(x, ((0, 0), (0, len(weight) - x.shape[1])))
+    a = linear(gather(x @ weight, src, dst), w, f"{name}.ih")
+    b = linear(x, w, f"{name}.hh")
+    (ar, az, an), (br, bz, bn) = np.split(a, 3, 1), np.split(b, 3, 1)
+    reset, update = 1 / (1 + np.exp(-ar - br)), 1 / (1 + np.exp(-az - bz))
+    return (1 - update) * np.tanh(an + reset * bn) + update * x
+
+
+@CONVOLUTIONS.register("PNA")
+def pna(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, name: str) -> np.ndarray:
+    """Three SAGE convolutions side by side; all three sum, whatever their names."""
+    return np.concatenate([sage(x, src, dst, w, f"{name}.{part}") for part in ("sum", "mean", "max")], 1)
+
+
+def forward(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, n_layers: int, conv: str = "SAGE", skip: str | None = None) -> np.ndarray:
+    """Embedding of one graph. ``skip``: ``learnable`` (with gates), ``all`` or ``none`` earlier layers go into each; the weights decide if it isn't given."""
+    skip = skip or ("learnable" if "skip" in w else "all")
+    if skip not in ("learnable", "all", "none"):
+        raise ValueError(f"unknown skip {skip!r}; there are learnable, all, none")
     h = linear(x, w, "pre")
     layers = h
-    gates = w.get("skip")
+    gates = w["skip"] if skip == "learnable" else None
     emb = [h]
     for k in range(n_layers):
         if gates is not None:
             gate = 1 / (1 + np.exp(-gates[k, : k + 1]))
             inp = np.concatenate([g * e for g, e in zip(gate, emb, strict=False)], 1)
         else:
-            inp = layers
+            inp = layers if skip == "all" else h
         h = np.maximum(CONVOLUTIONS[conv](inp, src, dst, w, f"conv{k}"), 0)
         emb.append(h)
         layers = np.concatenate([layers, h], 1)
@@ -75,32 +114,44 @@ def forward(x: np.ndarray, src: np.ndarray, dst: np.ndarray, w: Weights, n_layer
 
 
 def random_weights(input_dim: int = 2, hidden: int = 16, output: int = 16, n_layers: int = 3, conv: str = "SAGE", seed: int = 0) -> Weights:
-    """Untrained weights of the right shapes."""
+    """Untrained weights of the right shapes; those of ``gated`` are for ``skip="none"``."""
     rng = np.random.default_rng(seed)
-    w: Weights = {"skip": np.zeros((n_layers, n_layers))}
+    w: Weights = {} if conv == "gated" else {"skip": np.zeros((n_layers, n_layers))}
+    width = 3 * hidden if conv == "PNA" else hidden
 
     def put(name: str, a: int, b: int) -> None:
         w[f"{name}.weight"], w[f"{name}.bias"] = rng.normal(size=(b, a)) / np.sqrt(a), np.zeros(b)
 
-    put("pre", input_dim, hidden)
+    put("pre", input_dim, width)
     for k in range(n_layers):
-        d = hidden * (k + 1)
+        d = width * (k + 1)
         if conv == "SAGE":
             put(f"conv{k}.lin", d, d)
             put(f"conv{k}.update", 2 * d, hidden)
         elif conv == "GIN":
             put(f"conv{k}.nn0", d, hidden)
             put(f"conv{k}.nn1", hidden, hidden)
+        elif conv == "PNA":
+            for part in ("sum", "mean", "max"):
+                put(f"conv{k}.{part}.lin", d, d)
+                put(f"conv{k}.{part}.update", 2 * d, hidden)
+        elif conv == "GAT":
+            put(f"conv{k}.lin", d, hidden)
+            w[f"conv{k}.att_src"], w[f"conv{k}.att_dst"] = rng.normal(size=(2, hidden)) / np.sqrt(hidden)
+        elif conv == "gated":
+            w[f"conv{k}.weight"] = rng.normal(size=(hidden, hidden)) / np.sqrt(hidden)
+            put(f"conv{k}.ih", hidden, 3 * hidden)
+            put(f"conv{k}.hh", hidden, 3 * hidden)
         else:
             put(f"conv{k}.lin", d, hidden)
             put(f"conv{k}.root", d, hidden)
-    put("post0", hidden * (n_layers + 1), hidden)
+    put("post0", width * (n_layers + 1), hidden)
     put("post1", hidden, output)
     return w
 
 
 @ENCODERS.register("skip_last_gnn")
-def encode(graphs: DataFrame, weights: Weights, n_layers: int = 3, conv: str = "SAGE", input_dim: int = 2) -> DataFrame:
+def encode(graphs: DataFrame, weights: Weights, n_layers: int = 3, conv: str = "SAGE", input_dim: int = 2, skip: str | None = None) -> DataFrame:
     """``nb, emb`` of neighbourhoods, one row each: ``nb``, ``x`` (array of feature arrays in local order), ``src`` and ``dst`` (local ids)."""
 
     @F.pandas_udf("array<float>")
@@ -108,7 +159,7 @@ def encode(graphs: DataFrame, weights: Weights, n_layers: int = 3, conv: str = "
         out = []
         for a, s, d in zip(x, src, dst, strict=True):
             feats = np.stack([np.asarray(v, float)[:input_dim] for v in a])
-            out.append(forward(feats, np.asarray(s, np.int64), np.asarray(d, np.int64), weights, n_layers, conv).astype(np.float32))
+            out.append(forward(feats, np.asarray(s, np.int64), np.asarray(d, np.int64), weights, n_layers, conv, skip).astype(np.float32))
         return pd.Series(out)
 
     return graphs.select("nb", run("x", "src", "dst").alias("emb"))

@@ -85,15 +85,45 @@ def test_training_improves_and_saves(spark, tmp_path):
     assert np.array_equal(train.Head.load(str(tmp_path / "head.npz")).weights, head.weights)
 
 
-@pytest.mark.parametrize("conv", ["SAGE", "GIN", "GCN", "graph"])
+@pytest.mark.parametrize("conv", ["SAGE", "GIN", "GCN", "graph", "GAT", "gated", "PNA"])
 def test_encoder_ignores_order_and_loops(conv):
+    skip = "none" if conv == "gated" else None
     w = encode.random_weights(conv=conv)
     x = np.array([[1.0, 1], [0, 1], [0, 1], [0, 1]])
     src, dst = np.array([0, 1, 1, 2, 2, 3]), np.array([1, 0, 2, 1, 3, 2])
-    a = encode.forward(x, src, dst, w, 3, conv)
+    a = encode.forward(x, src, dst, w, 3, conv, skip)
     p = np.array([0, 3, 1, 2])
-    b = encode.forward(x, np.append(p[src], 0), np.append(p[dst], 0), w, 3, conv)
-    assert np.allclose(a, b)
+    b = encode.forward(x, np.append(p[src], 0), np.append(p[dst], 0), w, 3, conv, skip)
+    assert np.allclose(a, b) and a.shape == (16,)
+
+
+def test_attention_by_hand():
+    # Node 0 hears 1 and itself with raw scores 1 and -1, which the leak makes -0.2; node 1 has no one but itself.
+    w = {"c.lin.weight": np.eye(1), "c.lin.bias": np.array([0.5]), "c.att_src": np.array([1.0]), "c.att_dst": np.array([0.0])}
+    x = np.array([[-1.0], [1.0]])
+    out = encode.gat(x, np.array([1, 0]), np.array([0, 0]), w, "c")
+    a, b = np.exp(1.0), np.exp(-0.2)
+    assert np.allclose(out, [[(a - b) / (a + b) + 0.5], [1.5]])
+
+
+def test_gated_step_by_hand():
+    w = encode.random_weights(hidden=3, n_layers=1, conv="gated", seed=5)
+    rng = np.random.default_rng(1)
+    for name in ("conv0.ih", "conv0.hh"):
+        w[f"{name}.bias"] = rng.normal(size=9)
+    x = rng.normal(size=(3, 2))
+    got = encode.gated(x, np.array([0, 1, 2, 2]), np.array([1, 0, 0, 2]), w, "conv0")
+    s = lambda v: 1 / (1 + np.exp(-v))
+    state = np.append(x, np.zeros((3, 1)), 1)
+    for node, heard in ((0, [1, 2]), (1, [0]), (2, [])):
+        m = sum((state[i] @ w["conv0.weight"] for i in heard), np.zeros(3))
+        i, h = w["conv0.ih.weight"] @ m + w["conv0.ih.bias"], w["conv0.hh.weight"] @ state[node] + w["conv0.hh.bias"]
+        z = s(i[3:6] + h[3:6])
+        assert np.allclose(got[node], (1 - z) * np.tanh(i[6:] + s(i[:3] + h[:3]) * h[6:]) + z * state[node])
+    with pytest.raises(ValueError, match="skip"):
+        encode.gated(np.zeros((3, 6)), np.array([0]), np.array([1]), w, "conv0")
+    with pytest.raises(ValueError, match="unknown skip"):
+        encode.forward(x, np.array([0]), np.array([1]), w, 1, "gated", "some")
 
 
 def test_json_round_trip(spark, tmp_path):
