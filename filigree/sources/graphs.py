@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filigree.operators import graph, sampling
 from filigree.operators.ranks import running
 from filigree.registry import SOURCES
+from filigree.sources import mat as matlab
 
 Graph = tuple[DataFrame, DataFrame]
 
@@ -32,11 +33,20 @@ def parquet(spark: SparkSession, path: str) -> Graph:
 @SOURCES.register("relation")
 def relation(spark: SparkSession, path: str, relation: str) -> Graph:
     """One relation of ``edges(rel, src, dst)``; ``nodes(node, label)`` 0 or 1 become 0 or 2."""
-    e = table(spark, path, "edges")
+    return one_relation(table(spark, path, "nodes"), table(spark, path, "edges"), relation)
+
+
+@SOURCES.register("mat")
+def mat(spark: SparkSession, path: str, relation: str) -> Graph:
+    """One relation of a MATLAB file of sparse matrices, with the classes of its nodes in ``label``."""
+    return one_relation(*matlab.relations(spark, path), relation)
+
+
+def one_relation(nodes: DataFrame, e: DataFrame, relation: str) -> Graph:
     rel = e.filter(F.col("rel").isin(relation, f"net_{relation}"))
     if rel.isEmpty():
         raise ValueError(f"no relation {relation!r}; there are {sorted(r['rel'] for r in e.select('rel').distinct().collect())}")
-    return marked(table(spark, path, "nodes").select("node", (F.col("label") * 2).alias("y")), rel)
+    return marked(nodes.select("node", (F.col("label") * 2).alias("y")), rel)
 
 
 @SOURCES.register("merged")

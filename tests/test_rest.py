@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 
@@ -8,7 +11,7 @@ from filigree.operators import encode, generate, metrics, outliers, train
 from filigree.plans import detect
 from filigree.plans.callbacks import Callback
 from filigree.registry import CALLBACKS, DETECTORS, GENERATORS, SAMPLERS, SCORERS, SEARCHES, Registry
-from filigree.sources import files, graphs
+from filigree.sources import files, graphs, mat
 
 
 def test_registry():
@@ -149,6 +152,41 @@ def test_sources(spark, tmp_path):
     assert n.count() == 5 and sorted(map(tuple, u.collect())) == [(0, 1), (1, 0), (2, 4), (4, 2)]
 
 
+def _element(kind: int, data: bytes, order: str) -> bytes:
+    if len(data) <= 4 and kind != 14:
+        return struct.pack(order + "I", len(data) << 16 | kind) + data.ljust(4, b"\0")
+    return struct.pack(order + "II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+
+def _matrix(name: str, what: int, shape: tuple[int, int], parts: list[tuple[int, bytes]], order: str) -> bytes:
+    head = [(6, struct.pack(order + "II", what, 0)), (5, struct.pack(order + "ii", *shape)), (1, name.encode())]
+    return _element(14, b"".join(_element(k, d, order) for k, d in head + parts), order)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_matlab_relations(spark, tmp_path, order):
+    """Stored places of sparse matrices, whether their values are zero or not; compressed elements aren't padded."""
+    ints = lambda *v: (5, struct.pack(f"{order}{len(v)}i", *v))
+    upu = _matrix("net_upu", 5, (4, 4), [ints(1, 0, 3, 0), ints(0, 1, 2, 2, 3), (2, b"\1\1\0")], order)  # the fourth row is room that no column uses
+    none = _matrix("net_none", 5, (4, 4), [ints(), ints(0, 0, 0, 0, 0), (9, b"")], order)
+    label = _matrix("label", 6, (1, 4), [(2, bytes([0, 1, 0, 1]))], order)
+    packed = zlib.compress(upu)
+    body = label + struct.pack(order + "II", 15, len(packed)) + packed + none + _matrix("note", 4, (1, 1), [(4, b"ab")], order)
+    data = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack(order + "H", 0x0100) + (b"IM" if order == "<" else b"MI") + body
+    (tmp_path / "a.mat").write_bytes(data)
+    nodes, edges = graphs.load(spark, "mat", str(tmp_path / "a.mat"), relation="upu")
+    assert sorted(map(tuple, edges.collect())) == [(0, 1), (1, 0)]  # without the loop at 3
+    assert [n for n, _ in mat.matrices(data)] == ["label", "net_upu", "net_none"]
+    rows, columns = dict(mat.matrices(data))["net_upu"]
+    assert (rows.tolist(), columns.tolist()) == ([1, 0, 3], [0, 1, 3])
+    assert {r.node: r.y for r in nodes.collect()} == {0: 0, 1: 2, 2: 0, 3: 2}
+    with pytest.raises(ValueError, match="no relation"):
+        graphs.load(spark, "mat", str(tmp_path / "a.mat"), relation="none")
+    for bad in (b"", b"x" * 200, data[:150]):
+        with pytest.raises(ValueError):
+            list(mat.matrices(bad))
+
+
 class Broken(Callback):
     def on_step_end(self, **_):
         raise RuntimeError
