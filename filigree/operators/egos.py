@@ -146,6 +146,68 @@ def by_triangles(edges: DataFrame, make: Callable[[np.ndarray, np.ndarray, np.nd
     return _deal(once, cuts, goes).groupBy("task").applyInArrow(find, schema)
 
 
+def two_hops(edges: DataFrame, share: int = 100_000) -> DataFrame:
+    """``nb, node, hop``: what `graph.khop` gives for all nodes and a radius of 2.
+
+    A task has the edges that leave one range of nodes and those that reach another, so all paths between the two are in it, and a
+    pair of nodes is told once, where it is found. Its edges grow with the root of their number (``share``: that of a pair of ranges).
+    """
+    e = edges.filter(F.col("src") != F.col("dst"))
+    cuts = _cuts(e, int(np.ceil(np.sqrt(e.count() / share))))
+    joined = _joined(e, cuts)
+    width = len(cuts) + 1
+    after: dict[int, set[int]] = {}
+    for i, j in joined:
+        after.setdefault(i, set()).add(j)
+    goes: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, j in joined:
+        # As a first step to every range that a second one reaches (and its own, where it tells who is nearer), and as a second step from
+        # every range that one comes from.
+        goes[i, j] = [(i * width + k, 0) for k in after.get(j, set()) | {j}] + [(h * width + j, 1) for h, to in after.items() if i in to]
+
+    def find(key: tuple, table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (a, m), (n, t) = _unpacked(table, 2)
+        if not len(a) or not len(n):
+            return
+        order = np.lexsort((m, a))
+        a, m = a[order], m[order]
+        order = np.lexsort((t, n))
+        n, t = n[order], t[order]
+        ends, at = np.unique(t, return_inverse=True)
+        at = at.astype(np.int32)
+        begin, end = np.searchsorted(n, m), np.searchsorted(n, m, side="right")
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        seen = np.zeros(len(ends), bool)
+        nbs, nodes, total = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            offsets = np.r_[0, np.cumsum([len(x) for x in nodes])].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(nbs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(nodes)))], names=["nb", "nodes"])
+
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(a)]):
+            for p, q in zip(begin[x:y].tolist(), end[x:y].tolist()):
+                seen[at[p:q]] = True
+            near = np.append(m[x:y], a[x])
+            place = np.minimum(np.searchsorted(ends, near), len(ends) - 1)
+            seen[place[ends[place] == near]] = False
+            got = np.flatnonzero(seen)
+            seen[:] = False
+            if len(got):
+                nbs.append(int(a[x]))
+                nodes.append(ends[got])
+                total += len(got)
+            if total >= 1 << 19:
+                yield batch()
+                nbs, nodes, total = [], [], 0
+        if nbs:
+            yield batch()
+
+    far = _deal(e, cuts, goes).groupBy("task").applyInArrow(find, "nb long, nodes array<long>")
+    hop = lambda df, node, k: df.select("nb", F.col(node).alias("node"), F.lit(k).alias("hop"))
+    own = hop(edges.select(F.col("src").alias("nb")).union(edges.select("dst")).distinct(), "nb", 0)
+    return own.union(hop(e.select(F.col("src").alias("nb"), "dst"), "dst", 1)).union(far.select("nb", F.explode("nodes").alias("node"), F.lit(2).alias("hop")))
+
+
 def _six(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every node of each triangle with the opposite edge in both directions."""
     return np.concatenate([a, a, b, b, c, c]), np.concatenate([b, c, a, c, a, b]), np.concatenate([c, b, c, a, b, a])

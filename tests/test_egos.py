@@ -45,6 +45,7 @@ def test_egos(spark, name, monkeypatch):
     assert rows(egos.ego_counts(e)) == rows(contain.structural_counts(m, e))
     assert rows(egos.ego_hash(e, 2)) == rows(patterns.wl_hash(m, e, 2))
     assert rows(egos.ego_hash(e, 3, False)) == rows(patterns.wl_hash(m, e, 3, False))
+    assert rows(egos.two_hops(e, 5)) == rows(graph.khop(e, nodes, 2))
 
 
 def test_triangles_in_pieces(monkeypatch):
