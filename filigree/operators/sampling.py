@@ -25,18 +25,18 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42, stage: str = "s
     return df.withColumn("_h", order_of(seed, stage, key)).orderBy("_h", key).limit(n).drop("_h")
 
 
-def down_sample(candidates: DataFrame, group: list[str], key: str, ratio: float | None = None, most: int | None = None, seed: int = 42) -> DataFrame:
-    """Of each group ``max(1, round(ratio * n))`` rows (half to even) and at most ``most``, by hash."""
+def down_sample(candidates: DataFrame, group: list[str], key: str, ratio: float | None = None, most: int | None = None, seed: int = 42, named: list[str] | None = None) -> DataFrame:
+    """Of each group ``max(1, round(ratio * n))`` rows (half to even) and at most ``most``, by hash (of ``named`` instead of the group's columns)."""
     if ratio is None and most is None:
         return candidates
     w = Window.partitionBy(*group)
-    d = candidates.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(order_of(seed, "cands", *group, key), key)))
-    keep = F.lit(True)
+    d = candidates if ratio is None else candidates.withColumn("_n", F.count("*").over(w))
+    d = d.withColumn("_r", F.row_number().over(w.orderBy(order_of(seed, "cands", *(named or group), key), key)))
     if ratio is not None:
-        keep &= F.col("_r") <= F.greatest(F.lit(1), F.bround(F.lit(ratio) * F.col("_n"), 0).cast("int"))
+        d = d.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.lit(ratio) * F.col("_n"), 0).cast("int")))
     if most is not None:
-        keep &= F.col("_r") <= most
-    return d.filter(keep).drop("_n", "_r")
+        d = d.filter(F.col("_r") <= most)
+    return d.drop("_n", "_r")
 
 
 def choose_graphs(graphs: DataFrame, n: int, seed: int = 42, parts: int = 4096) -> DataFrame:

@@ -58,9 +58,12 @@ def members_of(beams: DataFrame) -> DataFrame:
 
 def candidates(beams: DataFrame, edges: DataFrame, ratio: float | None = None, most: int | None = None, seed: int = 42) -> DataFrame:
     """``beam, node``: neighbours of a beam's members that are no members, down-sampled by hash. Beams without any drop out."""
-    links = members_of(beams).join(edges, F.col("node") == F.col("src")).select(F.col("nb").alias("beam"), F.col("dst").alias("node")).distinct()
-    inside = members_of(beams).select(F.col("nb").alias("i_beam"), F.col("node").alias("i_node"))
-    new = links.join(inside, (F.col("beam") == F.col("i_beam")) & (F.col("node") == F.col("i_node")), "left_anti")
+    members = beams.select("beam", "neigh", F.explode("neigh").alias("at")).join(edges, F.col("at") == F.col("src"))
+    links = members.filter(~F.array_contains("neigh", F.col("dst"))).select("beam", "at", F.col("dst").alias("node"))
+    if ratio is None and most is not None:
+        # What is not among the first of a member's neighbours is not among those of the beam, so the others needn't move.
+        links = sampling.down_sample(links, ["beam", "at"], "node", None, most, seed, ["beam"])
+    new = links.select("beam", "node").distinct()
     return sampling.down_sample(new, ["beam"], "node", ratio, most, seed)
 
 
@@ -80,13 +83,14 @@ def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchCo
     """
     beams = materialise(beams, "search-grown")
     n_refs = refs.count() if n_refs is None else n_refs
-    counts = contain.structural_counts(members_of(beams), edges)
+    inner = materialise(graph.induced_small(edges, beams.select(F.col("beam").alias("nb"), "neigh")), "search-inner")
+    counts = contain.structural_counts(members_of(beams), edges, inner)
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     density = F.when(F.col("n_nodes") < 2, 0.0).otherwise(F.col("n_edges") / pairs).cast("double")
     shape = materialise(counts.select(F.col("nb").alias("q_beam"), F.xxhash64("nb").alias("qid"), contain.as_embedding().alias("emb"), density.alias("new_density")), "search-shape")
     hits = contain.containment_counts(shape, refs, config.tau, query_id="qid", ref_id="nb", ref_freq="freq" if known else None)
     if used is not None:
-        used += [beams, shape]
+        used += [beams, inner, shape]
     if known:
         freqs = contain.lower_bounded(hits, n_refs, config.max_strength)
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from filigree.operators import contain, egos, graph, patterns
+from filigree.operators import contain, egos, graph, patterns, sampling, search
 
 
 def of(spark, pairs):
@@ -57,6 +57,16 @@ def test_triangles_in_pieces(monkeypatch):
     assert sorted(got) == sorted((a, b, c) for a, b in pairs for c in near[a] & near[b])
 
 
+def test_small_sets_and_candidates(spark):
+    e = of(spark, random_pairs(30, 120, 5))
+    sets = spark.createDataFrame([("a", [1, 2, 3, 4]), ("b", [5]), ("c", [7, 8, 9, 10, 11]), ("d", [1, 1, 2])], "beam string, neigh array<long>")
+    members = sets.selectExpr("beam AS nb", "explode(array_distinct(neigh)) AS node")
+    assert rows(graph.induced_small(e, sets.withColumnRenamed("beam", "nb"))) == rows(graph.induced(e, members))
+    every = search.candidates(sets, e)
+    assert rows(search.candidates(sets, e, None, 3)) == rows(sampling.down_sample(every, ["beam"], "node", None, 3))
+    assert rows(search.candidates(sets, e, 0.5, 3)) == rows(sampling.down_sample(every, ["beam"], "node", 0.5, 3))
+
+
 def test_no_row_for_a_path_of_two_edges(spark):
     """A star has a path for each pair of its leaves, and no triangle."""
     n = 3000
