@@ -25,17 +25,20 @@ def closed(s: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
     Every edge points to its end of larger degree, and each pair of edges that leave a node is looked up: first in a table of bits by
     hash, which excludes nearly all pairs without an edge, then among the sorted edges.
     """
-    ids, at = np.unique(np.concatenate([s, d]), return_inverse=True)
+    ids = np.unique(np.concatenate([s, d]))
     if not len(ids):
         return
-    order = np.argsort(np.bincount(at, minlength=len(ids)), kind="stable")
+    a, b = np.searchsorted(ids, s), np.searchsorted(ids, d)
+    del s, d
+    order = np.argsort(np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids)), kind="stable")
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
-    ids, a, b = ids[order], rank[at[: len(s)]], rank[at[len(s) :]]
-    del at, rank, order
+    ids, a, b = ids[order], rank[a], rank[b]
+    del rank, order
     key = np.sort(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+    del a, b
     u, v = key // len(ids), key % len(ids)
-    bits = max(16, int(len(key) * 16).bit_length())
+    bits = max(16, int(len(key) * 8).bit_length())
     slot = lambda k: ((k * -7046029254386353131).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
     table = np.zeros(1 << bits, bool)
     table[slot(key)] = True
