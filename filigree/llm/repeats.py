@@ -5,7 +5,7 @@ find these strings over all documents without sorting all suffixes in one place,
 length is dealt by its minimiser (the least hash of its substrings of `seed_bytes`): consecutive
 strings with the same one are a stretch of text, and equal strings always meet in the same shard.
 
-1. `minimisers` of all documents, sorted and packed by block, meet by shard; back comes a bit for each that
+1. `minimisers` of all documents, sorted and packed with their blocks, meet by shard; back comes a bit for each that
    says whether another document has it too. Nine of ten stretches end here.
 2. The other stretches meet by shard. Equal ones are one, with the smallest document that has it. For those left, the
    shard builds the Burrows-Wheeler transform and the common prefixes of the collection column-wise:
@@ -135,17 +135,17 @@ OFTEN = 1
 
 
 def ask_keys(parts: list[tuple], shards: int, length: int) -> Iterator[tuple]:
-    """Rows (shard, block, keys, several, times) of some documents (block, place, text, keys, starts, counts).
+    """Rows (shard, blocks, keys, several, times) of some documents (block, place, text, keys, starts, counts): one a shard.
 
-    A shard's minimisers, sorted; whether several places have it, and how many stretches: different ones, or
-    occurrences where they are few.
+    A shard's minimisers, sorted, with the block that asks; whether several places have it there, and how many stretches: different
+    ones, or occurrences where they are few. A row for each block besides would hold a minimiser or two where there are thousands of blocks.
     """
     import xxhash
 
     key, start, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
     n = [len(p[3]) for p in parts]
     block, place, doc = (np.repeat(np.array(x, np.int64), n) for x in ([p[0] for p in parts], [p[1] for p in parts], range(len(parts))))
-    order = np.lexsort((place, key, block))
+    order = np.lexsort((place, block, key))
     key, block, place = key[order], block[order], place[order]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) if len(key) else np.zeros(0, int)
     last = np.append(first[1:], len(key)) - 1
@@ -158,17 +158,17 @@ def ask_keys(parts: list[tuple], shards: int, length: int) -> Iterator[tuple]:
         different = np.unique(np.stack([group.astype(np.uint64), np.array(made, np.uint64)]), axis=1)[0].astype(np.int64)
         times[often] = np.bincount(different, minlength=len(times))[often]
     key, block, several = key[first], block[first], place[first] < place[last]
-    # Shards are ranges of keys, so both together are in order.
-    for at, part in cuts(block * shards + shard_of(key, shards)):
-        yield at % shards, at // shards, packed(key[part]), np.packbits(several[part]).tobytes(), packed(times[part].astype("<u4"))
+    # Shards are ranges of keys, so they are in order too.
+    for shard, part in cuts(shard_of(key, shards)):
+        yield shard, packed(block[part].astype("<u4")), packed(key[part]), np.packbits(several[part]).tobytes(), packed(times[part].astype("<u4"))
 
 
-def answer_keys(blocks: list[int], keys: list[bytes], several: list[bytes], times: list[bytes], hot: int) -> Iterator[tuple[int, bytes]]:
+def answer_keys(blocks: list[bytes], keys: list[bytes], several: list[bytes], times: list[bytes], hot: int) -> Iterator[tuple[int, bytes]]:
     """Rows (block, bits): two bits for each different key that a block asked for, in order: whether it is shared and whether it is hot."""
     lists = [unpacked(k, "<u8") for k in keys]
     if not lists:
         return
-    key, block = np.concatenate(lists), np.repeat(blocks, [len(k) for k in lists])
+    key, block = np.concatenate(lists), np.concatenate([unpacked(b, "<u4") for b in blocks]).astype(np.int64)
     flag = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(k)) for s, k in zip(several, lists, strict=True)])
     _, of, n = np.unique(key, return_inverse=True, return_counts=True)
     stretches = np.bincount(of, np.concatenate([unpacked(t, "<u4") for t in times]))
@@ -447,7 +447,7 @@ def removed(block: Block, asked: Stretches, answers: dict[int, bytes], singles:
         yield np.cumsum(edge, dtype=np.int32)[: len(b)] > 0
 
 
-KEYS = "shard int, block int, keys binary, several binary, times binary"
+KEYS = "shard int, blocks binary, keys binary, several binary, times binary"
 BITS = "block int, shard int, step int, bits binary"
 ASKED = "shard int, block int, step int, keys binary, low binary, sizes binary, text binary"
 
@@ -490,7 +490,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             yield from _table(list(ask_keys(held, shards, length)), KEYS).to_batches()
 
     def second(key: tuple, table: pa.Table) -> pa.Table:
-        cols = (table.column(c).to_pylist() for c in ("block", "keys", "several", "times"))
+        cols = (table.column(c).to_pylist() for c in ("blocks", "keys", "several", "times"))
         return _table([(b, key[0].as_py(), 0, x) for b, x in answer_keys(*cols, hot)], BITS)
 
     def third(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:

@@ -305,6 +305,27 @@ def test_minimisers_of_pieces(monkeypatch):
     assert keys[0] == keys[1]
 
 
+def test_repeats_asks_a_row_a_shard():
+    """However many blocks ask: a row for each pair of block and shard would hold a minimiser or two on many GB."""
+    blocks, shards = 300, 75
+    texts = [f"{i:03} " + "".join(chr(97 + (i * k * k + 7 * k) % 23) for k in range(400)) + " a passage that every third text has, of more than fifty bytes" * (i % 3 == 0) for i in range(900)]
+    asked = [(i % blocks, i, t.encode(), *repeats.minimisers(t.encode(), 50)) for i, t in enumerate(texts)]
+    rows = list(repeats.ask_keys(asked, shards, 50))
+    assert len(rows) == len({r[0] for r in rows}) <= shards
+    places: dict[int, set[int]] = {}
+    for _, place, _, keys, _, _ in asked:
+        for k in keys.tolist():
+            places.setdefault(k, set()).add(place)
+    for shard, *row in rows:
+        answers = dict(repeats.answer_keys(*([x] for x in row), 2000))
+        for b in range(blocks):
+            mine = sorted({k for a in asked if a[0] == b for k in a[3].tolist() if repeats.shard_of(np.array([k], np.uint64), shards)[0] == shard}) if shard % 25 == 0 else []
+            if mine:
+                shared, hot = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=2 * len(mine)).reshape(2, -1)
+                assert shared.tolist() == [len(places[k]) > 1 for k in mine]
+                assert not hot.any()
+
+
 @pytest.mark.parametrize("length", [9, 20, 300])
 def test_repeats_of_other_lengths(docs, rows, length):
     want = brute.repeats([(place(r[0]), r[1]) for r in rows if r[0] != 64], length)
