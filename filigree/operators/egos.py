@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that a task of `triangles` is to hold, about; edges that are packed at once; paths that are looked up at once.
-HELD, PACKED, PATHS = 4_000_000, 1 << 20, 1 << 21
+#: Edges that a task of `triangles` is to hold, about; edges that are packed at once; paths that are looked up at once; places of the table of `supports`.
+HELD, PACKED, PATHS, MARKED = 4_000_000, 1 << 20, 1 << 21, 1 << 24
 
 
 def closed(s: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,6 +66,8 @@ def _cuts(edges: DataFrame, ranges: int) -> np.ndarray:
     if ranges < 2:
         return np.zeros(0, np.int64)
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    # Only the sizes of the ranges hang on where they are cut, so of many edges every sixteenth, by hash, tells that.
+    edges = edges.filter((F.xxhash64("src", "dst") % 16 == 0) | F.lit(ranges < 5))
     return np.array(sorted(set(edges.agg(F.percentile_approx(F.col("src").cast("long"), shares, F.lit(10_000))).head()[0] or [])), np.int64)
 
 
@@ -237,31 +239,165 @@ def ego_shape(edges: DataFrame) -> DataFrame:
     return out.withColumn("density", F.when(F.col("n_nodes") < 2, 0.0).otherwise(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1) / 2)))
 
 
+def supports(s: np.ndarray, d: np.ndarray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The undirected edges ``s, d``, each of which is there once, in another order and with ends in any, and the triangles that each is in.
+
+    ``odd``: which of `np.unique` of the nodes are of the second of two kinds, of which no two are joined; only triangles that have
+    one count then. Every edge points to its end of larger degree. Paths of two edges are looked up among the edges of their first
+    node, which are marked in a table of their own, some nodes at a time.
+    """
+    ids = np.unique(np.concatenate([s, d]))
+    size = len(ids)
+    if not size:
+        return s, d, np.zeros(0, np.int64)
+    a, b = np.searchsorted(ids, s), np.searchsorted(ids, d)
+    del s, d
+    order = np.argsort(np.bincount(a, minlength=size) + np.bincount(b, minlength=size), kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    ids, a, b = ids[order], rank[a], rank[b]
+    kind = np.zeros(size, bool) if odd is None else odd[order]
+    del rank, order
+    key, b = np.minimum(a, b), np.maximum(a, b)
+    key *= 2
+    key += kind[b]
+    key *= size
+    key += b
+    del a, b
+    key.sort()
+    v = (key % size).astype(np.int32)
+    key //= size
+    u = (key // 2).astype(np.int32)
+    # A node's edges to nodes that are not odd, then those to odd ones.
+    begin = np.searchsorted(key, 2 * np.arange(size + 1, dtype=np.int64)).astype(np.int32)
+    middle = np.searchsorted(key, 2 * np.arange(size, dtype=np.int64) + 1).astype(np.int32)
+    del key
+    low, high = begin[v], begin[1:][v]
+    if odd is not None:
+        high = np.where(kind[u], middle[v], high)
+        low = np.where(kind[u] | kind[v], low, middle[v])
+    paths = high - low
+    upto = np.cumsum(paths, dtype=np.int64)
+    n = np.zeros(len(u), np.int64)
+    rows = max(1, MARKED // size)
+    marked, place = np.zeros(rows * size, bool), np.empty(rows * size, np.int32)
+    x = 0
+    while x < len(u):
+        node = int(u[x])
+        y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + PATHS // 8, side="right")))
+        y = min(y, int(begin[min(node + rows, size)]))
+        many = paths[x:y]
+        total = int(many.sum())
+        if total:
+            mine = np.arange(begin[node], begin[u[y - 1] + 1], dtype=np.int32)
+            at = (u[mine] - node) * size + v[mine]
+            marked[at], place[at] = True, mine
+            second = np.arange(total, dtype=np.int32) + np.repeat(low[x:y] - (np.cumsum(many) - many).astype(np.int32), many)
+            third = np.repeat((u[x:y] - node) * size, many) + v[second]
+            hit = np.flatnonzero(marked[third])
+            marked[at] = False
+            if len(hit):
+                first = x + np.searchsorted(np.cumsum(many), hit, side="right")
+                np.add.at(n, np.concatenate([first, second[hit], place[third[hit]]]), 1)
+        x = y
+    return ids[u], ids[v], n
+
+
+def _packed(s: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """Sorted edges from their least ends on, and a number of each, in as few bytes as the largest takes."""
+    order = np.lexsort((d, s))
+    s, d, n = s[order], d[order], n[order]
+    step, far = np.diff(s, prepend=s[0]), d - d.min()
+    wide = max(step.max(), far.max()) >= 1 << 32
+    kind = np.uint8 if n.max() < 1 << 8 else np.uint16 if n.max() < 1 << 16 else np.int64
+    return int(s[0]), int(d.min()), np.concatenate([step, far]).astype(np.int64 if wide else np.uint32).tobytes(), n.astype(kind).tobytes()
+
+
+def _edge_sums(s: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Of the nodes of the edges ``s, d``, which may be there several times: the edges, and the sums over them of what `ego_counts` takes of ``n``, the triangles."""
+    ids, at = np.unique(np.concatenate([s, d]), return_inverse=True)
+    a, b = at[: len(s)], at[len(s) :]
+    key = a * len(ids) + b
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n[order], first) if len(key) else n
+    ends = np.concatenate([a[order][first], b[order][first]])
+    of = lambda x: np.bincount(ends, np.concatenate([x, x]), len(ids)).astype(np.int64)
+    return pa.table([ids, of(np.ones(len(n))), of(n), of(n * (n + 1) // 2), of(n >= 1), of(n >= 2)], names=["nb", "d", "t", "p", "two", "three"])
+
+
+def edge_sums(edges: DataFrame, held: int | None = None, parts: int = 4) -> DataFrame:
+    """``nb, d, t, p, two, three``, some rows a node: sums over the edges of a node of 1, ``n``, ``n * (n + 1) / 2``, ``n >= 1`` and ``n >= 2``, where ``n`` is the number of triangles of an edge.
+
+    Triangles are found as in `by_triangles`, but a task counts those of its edges and tells a number an edge, packed; a task for
+    every pair of ranges (``parts`` for it) adds these. Every edge is told by one task at least, so those without triangles count too.
+    """
+    once = edges.filter(F.col("src") < F.col("dst"))
+    cuts = _cuts(once, int(np.ceil(np.sqrt(6 * once.count() / (held or HELD)))))
+    width = len(cuts) + 1
+    joined = _joined(once, cuts)
+    every = range(width)
+    triples = {(i, j, h) for i in every for j in every[i:] for h in every[j:] if (i, j) in joined and (j, h) in joined and (i, h) in joined}
+    home = {(i, j): (i, i, j) for i, j in joined}
+    names = sorted(triples | set(home.values()))
+    goes: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for k, (i, j, h) in enumerate(names):
+        for pair in {(i, j), (j, h), (i, h)} & joined:
+            # Of two ranges only triangles of both count, and no edges within the second are needed for these.
+            if not (i == j < h and pair == (h, h)) and not (i < j == h and pair == (i, i)):
+                goes.setdefault(pair, []).append((k, 0))
+
+    def count(key: tuple, table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = key[0].as_py()
+        mine = names[k]
+        s, d = _unpacked(table, 1)[0]
+        single = (mine[2] if mine[0] == mine[1] else mine[0]) if len(set(mine)) == 2 else None
+        odd = None if single is None else np.searchsorted(cuts, np.unique(np.concatenate([s, d])), side="right") == single
+        u, v, n = supports(s, d, odd)
+        s, d = np.minimum(u, v), np.maximum(u, v)
+        pair = np.searchsorted(cuts, s, side="right") * width + np.searchsorted(cuts, d, side="right")
+        own = [i * width + j for (i, j), at in home.items() if at == mine]
+        told = (n > 0) | np.isin(pair, own)
+        s, d, n, pair = s[told], d[told], n[told], pair[told] * parts + s[told] % parts
+        order = np.argsort(pair, kind="stable")
+        kinds, begins = np.unique(pair[order], return_index=True)
+        for part, x, y in zip(kinds.tolist(), begins.tolist(), [*begins[1:].tolist(), len(pair)]):
+            for at in range(x, y, PACKED):
+                some = order[at : min(y, at + PACKED)]
+                row = [part, len(some), *_packed(s[some], d[some], n[some])]
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["part", "n", "s", "d", "data", "counts"])
+
+    def add(key: tuple, table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: list[list] = [[], [], []]
+        for b in table:
+            for n, s, d, data, counts in zip(*(b.column(c).to_pylist() for c in ("n", "s", "d", "data", "counts"))):
+                x = np.frombuffer(data, np.int64 if len(data) == 16 * n else np.uint32)
+                ends[0].append(s + np.cumsum(x[:n], dtype=np.int64))
+                ends[1].append(d + x[n:].astype(np.int64))
+                ends[2].append(np.frombuffer(counts, {n: np.uint8, 2 * n: np.uint16}.get(len(counts), np.int64)).astype(np.int64))
+        yield from _edge_sums(*(np.concatenate(x) for x in ends)).to_batches(max_chunksize=1 << 16)
+
+    told = _deal(once, cuts, goes).groupBy("task").applyInArrow(count, "part int, n int, s long, d long, data binary, counts binary")
+    return told.groupBy("part").applyInArrow(add, "nb long, d long, t long, p long, two long, three long")
+
+
 def ego_counts(edges: DataFrame) -> DataFrame:
     """What `contain.structural_counts` gives for the closed neighbourhoods of all nodes: a neighbour's degree is one more than its triangles with the anchor."""
-
-    def sides(*abc: np.ndarray) -> pa.Table:
-        nb, node, _ = _six(*abc)
-        order = np.lexsort((node, nb))
-        nb, node = nb[order], node[order]
-        first = np.flatnonzero(np.r_[True, (nb[1:] != nb[:-1]) | (node[1:] != node[:-1])])
-        return pa.table([nb[first], node[first], np.diff(np.r_[first, len(nb)])], names=["t_nb", "node", "s"])
-
-    # Dealt by the anchor alone, both sums need no other exchange.
-    each = by_triangles(edges, sides, "t_nb long, node long, s long").repartition("t_nb").groupBy("t_nb", "node").agg(F.sum("s").alias("s"))
-    far = each.groupBy("t_nb").agg((F.sum("s") / 2).cast("long").alias("t"), F.sum((F.col("s") * (F.col("s") + 1) / 2).cast("long")).alias("p"), F.count("*").alias("two"), F.count_if(F.col("s") >= 2).alias("three"))
-    near = edges.groupBy(F.col("src").alias("nb")).agg(F.count_if(F.col("src") != F.col("dst")).alias("d"))
-    d, at = F.col("d"), lambda c: F.coalesce(c, F.lit(0))
-    return near.join(far, F.col("nb") == F.col("t_nb"), "left").select(
+    loops = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").cast("long").alias("nb"), *[F.lit(0).cast("long").alias(c) for c in ("d", "t", "p", "two", "three")])
+    far = edge_sums(edges).union(loops).groupBy("nb").agg(*[F.sum(c).alias(c) for c in ("d", "p", "two", "three")], (F.sum("t") / 2).cast("long").alias("t"))
+    d = F.col("d")
+    return far.select(
         "nb",
         F.col("nb").alias("anchor"),
         (d + 1).alias("n_nodes"),
-        (d + at("t")).alias("n_edges"),
+        (d + F.col("t")).alias("n_edges"),
         d.alias("anchor_degree"),
-        at("t").alias("anchor_triangles"),
-        ((d * (d - 1) / 2).cast("long") + at("p")).alias("n_paths2"),
-        (at("two") + (d >= 2).cast("long")).alias("n_deg2"),
-        (at("three") + (d >= 3).cast("long")).alias("n_deg3"),
+        F.col("t").alias("anchor_triangles"),
+        ((d * (d - 1) / 2).cast("long") + F.col("p")).alias("n_paths2"),
+        (F.col("two") + (d >= 2).cast("long")).alias("n_deg2"),
+        (F.col("three") + (d >= 3).cast("long")).alias("n_deg3"),
         d.alias("max_degree"),
     )
 

@@ -74,3 +74,25 @@ def test_no_row_for_a_path_of_two_edges(spark):
     df = egos.ego_edges(e)
     assert df.count() == 4 * n
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kinds", [1, 2])
+def test_triangles_of_edges(monkeypatch, kinds):
+    monkeypatch.setattr(egos, "PATHS", 400)
+    monkeypatch.setattr(egos, "MARKED", 200)
+    pairs = sorted({(min(p), max(p)) for p in random_pairs(60, 500, 4)})
+    odd = lambda x: kinds == 2 and x % 3 == 0
+    pairs = [(a, b) for a, b in pairs if not (odd(a) and odd(b))]
+    s, d = (np.array(x) for x in zip(*pairs))
+    u, v, n = egos.supports(s, d, None if kinds == 1 else np.unique(np.concatenate([s, d])) % 3 == 0)
+    near = {a: {y for x, y in pairs if x == a} | {x for x, y in pairs if y == a} for a in range(60)}
+    kept = lambda *abc: kinds == 1 or sum(map(odd, abc)) == 1
+    assert sorted((min(a, b), max(a, b), k) for a, b, k in zip(u.tolist(), v.tolist(), n.tolist())) == [(a, b, sum(kept(a, b, c) for c in near[a] & near[b])) for a, b in pairs]
+
+
+def test_counts_move_no_row_an_edge(spark):
+    """Nodes have a few rows of sums each, and edges none; loops alone make a node without edges."""
+    e = of(spark, random_pairs(60, 1500, 6))
+    assert egos.edge_sums(e, parts=1).count() == 60
+    assert egos.edge_sums(e, 500, 1).count() <= 60 * 5 < e.count()
+    assert [(r.nb, r.n_nodes, r.n_edges) for r in egos.ego_counts(spark.createDataFrame([(3, 3)], "src long, dst long")).collect()] == [(3, 1, 0)]
