@@ -56,21 +56,26 @@ def members_of(beams: DataFrame) -> DataFrame:
     return beams.select(F.col("beam").alias("nb"), F.col("neigh")[0].alias("anchor"), F.explode("neigh").alias("node"))
 
 
-def candidates(beams: DataFrame, edges: DataFrame, ratio: float | None = None, most: int | None = None, seed: int = 42) -> DataFrame:
-    """``beam, node``: neighbours of a beam's members that are no members, down-sampled by hash. Beams without any drop out."""
+def candidates(beams: DataFrame, edges: DataFrame, ratio: float | None = None, most: int | None = None, seed: int = 42, near: bool = False) -> DataFrame:
+    """``beam, node`` (and ``near``, all members that it has an edge to): neighbours of a beam's members that are no members, down-sampled by hash. Beams without any drop out."""
     members = beams.select("beam", "neigh", F.explode("neigh").alias("at")).join(edges, F.col("at") == F.col("src"))
     links = members.filter(~F.array_contains("neigh", F.col("dst"))).select("beam", "at", F.col("dst").alias("node"))
     if ratio is None and most is not None:
         # What is not among the first of a member's neighbours is not among those of the beam, so the others needn't move.
         links = sampling.down_sample(links, ["beam", "at"], "node", None, most, seed, ["beam"])
-    new = links.select("beam", "node").distinct()
+    # A node among the first of the beam is so for every member that it is next to, so all its links are there.
+    new = links.groupBy("beam", "node").agg(F.collect_set("at").alias("near")) if near else links.select("beam", "node").distinct()
     return sampling.down_sample(new, ["beam"], "node", ratio, most, seed)
 
 
 def grown(beams: DataFrame, cands: DataFrame) -> DataFrame:
-    """Beams with each of their candidates added; the old score is the last one now."""
-    c = cands.select(F.col("beam").alias("c_beam"), F.col("node").alias("added"))
+    """Beams with each of their candidates added; the old score is the last one now. ``links`` grow with them where candidates have ``near``."""
+    near = "near" in cands.columns
+    c = cands.select(F.col("beam").alias("c_beam"), F.col("node").alias("added"), *(["near"] if near else []))
     g = beams.join(c, F.col("beam") == F.col("c_beam")).drop("c_beam")
+    if near:
+        more = F.transform("near", lambda x: F.struct(x.cast("long").alias("src"), F.col("added").cast("long").alias("dst")))
+        g = g.withColumn("links", F.concat("links", more)).drop("near")
     neigh = F.concat("neigh", F.array("added"))
     return g.withColumn("last_score", F.col("score")).withColumn("neigh", neigh).withColumn("beam", F.concat_ws(",", F.col("beam"), F.col("added").cast("string"))).withColumn("size", F.size("neigh")).drop("added")
 
@@ -78,12 +83,18 @@ def grown(beams: DataFrame, cands: DataFrame) -> DataFrame:
 def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False, n_refs: int | None = None, used: list | None = None) -> DataFrame:
     """Beams with frequency, weight, score and what the score needs, measured against ``refs`` (``nb, emb`` and, if ``known``, ``freq``).
 
-    Embedding and density come from the same counts, so the induced subgraphs are joined once.
+    Embedding and density come from the same counts, so the induced subgraphs are joined once; beams with ``links`` bring theirs and
+    need no join with the edges.
     ``used`` gets the tables that can go when the result has been written.
     """
     beams = materialise(beams, "search-grown")
     n_refs = refs.count() if n_refs is None else n_refs
-    inner = materialise(graph.induced_small(edges, beams.select(F.col("beam").alias("nb"), "neigh")), "search-inner")
+    linked = "links" in beams.columns
+    if linked:
+        both = F.explode(F.concat("links", F.transform("links", lambda x: F.struct(x["dst"].alias("src"), x["src"].alias("dst")))))
+        inner = beams.select(F.col("beam").alias("nb"), both.alias("e")).select("nb", "e.src", "e.dst")
+    else:
+        inner = materialise(graph.induced_small(edges, beams.select(F.col("beam").alias("nb"), "neigh")), "search-inner")
     counts = contain.structural_counts(members_of(beams), edges, inner)
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
     density = F.when(F.col("n_nodes") < 2, 0.0).otherwise(F.col("n_edges") / pairs).cast("double")
@@ -103,7 +114,7 @@ def scored(beams: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchCo
     b = b.withColumn("gradient", scoring.history_gradient("history"))
     last = F.coalesce("last_score", F.lit(float("inf")))
     b = b.withColumn("score", SCORERS[config.scorer](alpha=config.alpha, last_score=last))
-    return b.withColumn("unchange", scoring.unchanged(F.col("score"), last, F.col("unchange"), config.unchange_direction)).select(*[c.split()[0] for c in _fields()])
+    return b.withColumn("unchange", scoring.unchanged(F.col("score"), last, F.col("unchange"), config.unchange_direction)).select(*_fields(), *(["links"] if linked else []))
 
 
 def _fields() -> list[str]:
@@ -187,26 +198,38 @@ def initial(starts: DataFrame, edges: DataFrame, config: SearchConfig) -> DataFr
     ).withColumn("history", F.coalesce("h", F.array().cast("array<struct<size:int,freq:double>>"))).drop("h")
 
 
-def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False) -> DataFrame:
+def with_links(beams: DataFrame, edges: DataFrame) -> DataFrame:
+    """Beams with ``links``, the edges among their members, each once."""
+    kind = "array<struct<src:bigint,dst:bigint>>"
+    inner = graph.induced_small(edges, beams.filter(F.size("neigh") > 1).select(F.col("beam").alias("nb"), "neigh")).filter(F.col("src") < F.col("dst"))
+    links = inner.distinct().groupBy(F.col("nb").alias("l_beam")).agg(F.collect_list(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).alias("links"))
+    return beams.join(links, F.col("beam") == F.col("l_beam"), "left").drop("l_beam").withColumn("links", F.coalesce("links", F.array().cast(kind)))
+
+
+def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConfig, num_nodes: int, known: bool = False, clean: bool = False) -> DataFrame:
     """Verified beams, one an anchor (``BEAM``): at most ``max_steps`` rounds, each written out, so lineage stays short.
 
-    ``keep_early``: a beam verified before ``min_steps`` is kept as it is, else it is dropped.
+    ``keep_early``: a beam verified before ``min_steps`` is kept as it is, else it is dropped. ``clean``: edges are written out, each
+    once and without loops, and are read as they are.
     """
     spark: SparkSession = edges.sparkSession
-    e = materialise(graph.drop_loops(edges).select("src", "dst").distinct(), "search-edges")
+    e = edges.select("src", "dst") if clean else materialise(graph.drop_loops(edges).select("src", "dst").distinct(), "search-edges")
     if config.sample_size:
         refs = sampling.hash_sample(refs, "nb", config.sample_size, config.seed, "refs")
     refs = materialise(refs, "search-refs")
     n_refs = refs.count()
-    beams = materialise(initial(starts, e, config), "search-beams")
+    beams = initial(starts, e, config)
+    # A step adds the edges of the node that it adds, which its candidates were found by.
+    none = F.array().cast("array<struct<src:bigint,dst:bigint>>")
+    beams = materialise(with_links(beams, e) if config.min_subgraph_size > 1 else beams.withColumn("links", none), "search-beams")
     done = spark.createDataFrame([], BEAM)
     votes: DataFrame | None = None
     tell = [CALLBACKS.build(c) if isinstance(c, str) else c for c in config.callbacks]
     for t in tell:
-        t.fire("on_search_start", starts=beams, config=config)
-    made = [e, refs, beams]
+        t.fire("on_search_start", starts=beams.drop("links"), config=config)
+    made = [refs, beams] if clean else [e, refs, beams]
     for step in range(max(1, config.min_subgraph_size), config.max_steps):
-        c = candidates(beams, e, config.sample_random_cands, config.max_cands, config.seed + step)
+        c = candidates(beams, e, config.sample_random_cands, config.max_cands, config.seed + step, True)
         used: list[DataFrame] = []
         step_scores = materialise(scored(grown(beams, c), e, refs, config, num_nodes, known, n_refs, used), "search-scored")
         now = prune(step_scores, config.min_strength, config.max_strength, config.max_unchanged)
@@ -214,7 +237,7 @@ def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConf
         kept = materialise(kept, "search-kept")
         remove(step_scores, *used)
         made.append(kept)
-        new = verified(kept, config.min_strength, config.max_strength)
+        new = verified(kept, config.min_strength, config.max_strength).drop("links")
         if step + 1 >= config.min_steps or config.keep_early:
             done = done.unionByName(new)
             if config.add_verified_neighs:
@@ -226,7 +249,7 @@ def run(starts: DataFrame, edges: DataFrame, refs: DataFrame, config: SearchConf
             more = count_votes(kept)
             votes = more if votes is None else votes.unionByName(more).groupBy("node").agg(F.sum("votes").alias("votes"))
         for t in tell:
-            t.fire("on_step_end", step=step, beams=kept)
+            t.fire("on_step_end", step=step, beams=kept.drop("links"))
         if beams.isEmpty():
             break
     out = materialise(first_by_anchor(done), "search-verified")

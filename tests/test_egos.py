@@ -96,3 +96,35 @@ def test_counts_move_no_row_an_edge(spark):
     assert egos.edge_sums(e, parts=1).count() == 60
     assert egos.edge_sums(e, 500, 1).count() <= 60 * 5 < e.count()
     assert [(r.nb, r.n_nodes, r.n_edges) for r in egos.ego_counts(spark.createDataFrame([(3, 3)], "src long, dst long")).collect()] == [(3, 1, 0)]
+
+
+def test_links_of_grown_beams(spark):
+    """Beams bring the edges among their members from step to step, with few or all candidates, as a join with all edges finds them."""
+    e = of(spark, random_pairs(30, 160, 7))
+    sets = spark.createDataFrame([("1", [1]), ("2,3,4", [2, 3, 4])], "beam string, neigh array<long>")
+    beams = search.with_links(sets.selectExpr("*", "0D AS score", "size(neigh) AS size"), e)
+    for most in (3, None):
+        now = beams
+        for step in range(3):
+            now = search.grown(now, search.candidates(now, e, None, most, step, True))
+        now = now.localCheckpoint()
+        links = now.selectExpr("beam AS nb", "explode(links) AS l").selectExpr("nb", "l.src", "l.dst")
+        assert now.count() > 20
+        assert rows(links.union(links.select("nb", "dst", "src"))) == rows(graph.induced_small(e, now.withColumnRenamed("beam", "nb")))
+        if most is None:
+            break
+        beams = now.filter("size = 4").limit(5).drop("last_score")
+
+
+def test_a_step_joins_edges_once(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("edges are joined again")
+
+    e = of(spark, random_pairs(30, 120, 8))
+    m = graph.khop(e, graph.nodes_of(e), 1).selectExpr("nb", "nb AS anchor", "node")
+    refs = contain.structural_embedding(m, e).select("nb", "emb").localCheckpoint()
+    starts = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    config = lambda: search.SearchConfig(max_steps=4, max_strength=1.0, min_strength=0.0, max_cands=4)
+    monkeypatch.setattr(graph, "induced_small", never)
+    got = rows(search.run(starts, e, refs, config(), 30))
+    assert got and got == rows(search.run(starts, e, refs, config(), 30, clean=True))
