@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filigree.session import materialise
+
 #: Edges that a task of `triangles` is to hold, about; edges that are packed at once; paths that are looked up at once; places of the table of `supports`.
 HELD, PACKED, PATHS, MARKED = 4_000_000, 1 << 20, 1 << 21, 1 << 24
 
@@ -156,7 +158,9 @@ def two_hops(edges: DataFrame, share: int = 100_000) -> DataFrame:
 
     A task has the edges that leave one range of nodes and those that reach another, so all paths between the two are in it, and a
     pair of nodes is told once, where it is found. Its edges grow with the root of their number (``share``: that of a pair of ranges).
+    Edges are written out in order first, so that packed ones have small steps, and ``edges`` are not read later.
     """
+    edges = materialise(edges.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"), "hop-edges")
     e = edges.filter(F.col("src") != F.col("dst"))
     cuts = _cuts(e, int(np.ceil(np.sqrt(e.count() / share))))
     joined = _joined(e, cuts)

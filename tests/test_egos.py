@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from filigree import session
 from filigree.operators import contain, egos, graph, patterns, sampling, search
 
 
@@ -128,3 +129,14 @@ def test_a_step_joins_edges_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "induced_small", never)
     got = rows(search.run(starts, e, refs, config(), 30))
     assert got and got == rows(search.run(starts, e, refs, config(), 30, clean=True))
+
+
+def test_two_hops_read_edges_in_order(spark):
+    """What is packed comes in order, from a table of its own, so the edges given can go."""
+    pairs = random_pairs(300, 4000, 9)
+    np.random.default_rng(10).shuffle(pairs)
+    e = session.materialise(of(spark, pairs).repartition(3, "dst"), "unordered")
+    want = rows(graph.khop(e, graph.nodes_of(e), 2))
+    got = egos.two_hops(e, 2000)
+    session.remove(e)
+    assert rows(got) == want
